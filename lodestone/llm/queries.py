@@ -1,0 +1,52 @@
+"""The queries of this subpackage: name -> callable(spark, folder)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import split, tokenize
+from lodestone.sources.tables import table
+
+HIT_KEY = F.col("hit_id").cast("string")
+BLOCK_KEY = F.concat_ws("#", "document_id", F.col("block_index").cast("string"))
+
+
+def _oversized(spark: SparkSession, folder: str, operator) -> DataFrame:
+    """``operator`` over the two text fields of ``size_limits``, which has one row a field."""
+    fields = {"text_blocks.text": (BLOCK_KEY, "text"), "retrieval_hits.source_chunk_text": (HIT_KEY, "source_chunk_text")}
+    parts = []
+    for row in table(spark, folder, "size_limits").where(F.col("field_name").isin(*fields)).collect():
+        key, text = fields[row["field_name"]]
+        items = table(spark, folder, row["field_name"].split(".")[0]).select(key.alias("item_key"), F.col(text).alias("text"))
+        pieces = operator(items, ["item_key"], "text", row["max_chars"], row["overlap_chars"])
+        parts.append(pieces.select(F.lit(row["field_name"]).alias("field_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _oversized(spark, folder, split.oversized)
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every text, once; a repeated row is a full copy, so its pieces are the same."""
+    return _oversized(spark, folder, split.split_oversized).dropDuplicates(["field_name", "item_key", "piece_no"])
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids}
+
+ORACLES: dict[str, str] = {
+    "p1_found": """
+        SELECT DISTINCT l.field_name, t.document_id || '#' || t.block_index AS item_key
+        FROM text_blocks t JOIN size_limits l ON l.field_name = 'text_blocks.text' AND length(t.text) > l.max_chars
+        UNION ALL
+        SELECT DISTINCT l.field_name, CAST(h.hit_id AS VARCHAR) AS item_key
+        FROM retrieval_hits h JOIN size_limits l ON l.field_name = 'retrieval_hits.source_chunk_text' AND length(h.source_chunk_text) > l.max_chars""",
+}
