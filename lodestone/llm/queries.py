@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import split, tokenize
+from lodestone.llm import neighbours, residue, split, tokenize
 from lodestone.sources.tables import table
 
-HIT_KEY = F.col("hit_id").cast("string")
-BLOCK_KEY = F.concat_ws("#", "document_id", F.col("block_index").cast("string"))
+#: The keys of items as SQL.
+HIT_KEY = "CAST(hit_id AS STRING)"
+BLOCK_KEY = "concat_ws('#', document_id, CAST(block_index AS STRING))"
 
 
 def _oversized(spark: SparkSession, folder: str, operator) -> DataFrame:
@@ -21,7 +22,7 @@ def _oversized(spark: SparkSession, folder: str, operator) -> DataFrame:
     parts = []
     for row in table(spark, folder, "size_limits").where(F.col("field_name").isin(*fields)).collect():
         key, text = fields[row["field_name"]]
-        items = table(spark, folder, row["field_name"].split(".")[0]).select(key.alias("item_key"), F.col(text).alias("text"))
+        items = table(spark, folder, row["field_name"].split(".")[0]).select(F.expr(key).alias("item_key"), F.col(text).alias("text"))
         pieces = operator(items, ["item_key"], "text", row["max_chars"], row["overlap_chars"])
         parts.append(pieces.select(F.lit(row["field_name"]).alias("field_name"), "*"))
     return reduce(DataFrame.unionByName, parts)
@@ -36,11 +37,30 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _oversized(spark, folder, split.split_oversized).dropDuplicates(["field_name", "item_key", "piece_no"])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, folder, "points", "vec_no", "vector"), "vec_no", "vector", 64)
+
+
+def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every vector, with their cosines."""
+    return neighbours.nearest(table(spark, folder, "points", "vec_no", "vector"), "vec_no", "vector", 64)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text", "source", "source_pdf")
+    return residue.find_residue(documents, "doc_id", "text", "source", "source_pdf").select("doc_id")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without residue."""
+    return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
