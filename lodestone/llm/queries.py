@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import neighbours, residue, split, tokenize
+from lodestone.llm import near_duplicates, neighbours, residue, split, tokenize
 from lodestone.sources.tables import table
 
 #: The keys of items as SQL.
@@ -37,6 +37,20 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _oversized(spark, folder, split.split_oversized).dropDuplicates(["field_name", "item_key", "piece_no"])
 
 
+def _evidence_texts(spark: SparkSession, folder: str) -> DataFrame:
+    spans = table(spark, folder, "evidence_records").select(F.lit("evidence_records.evidence_span").alias("field"), F.col("evidence_id").alias("id"), F.col("evidence_span").alias("text"), F.lit(False).alias("is_json"))
+    hits = table(spark, folder, "retrieval_hits").where("point_type = 'evidence_record'")
+    return spans.unionByName(hits.select(F.lit("retrieval_hits.extracted").alias("field"), F.col("source_id").alias("id"), F.col("extracted").alias("text"), F.lit(True).alias("is_json")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_evidence_texts(spark, folder))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_evidence_texts(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "points", "vec_no", "vector"), "vec_no", "vector", 64)
 
@@ -60,7 +74,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
