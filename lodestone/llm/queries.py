@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_duplicates, neighbours, residue, split, tokenize
+from lodestone.llm import near_duplicates, neighbours, residue, scans, split, tokenize
 from lodestone.sources.tables import table
 
 #: The keys of items as SQL.
@@ -37,6 +37,24 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _oversized(spark, folder, split.split_oversized).dropDuplicates(["field_name", "item_key", "piece_no"])
 
 
+def _page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "text_blocks").where("block_type IN ('text', 'list')").select(F.lit("text_blocks.text").alias("field_name"), F.expr(BLOCK_KEY).alias("item_key"), "text")
+    hits = table(spark, folder, "retrieval_hits").select(F.lit("retrieval_hits.text").alias("field_name"), F.expr(HIT_KEY).alias("item_key"), "text")
+    return blocks.unionByName(hits)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text")
+    kinds = F.array(F.struct(F.lit("word").alias("kind"), F.col("new_words").alias("pieces")), F.struct(F.lit("line").alias("kind"), F.col("lines").alias("pieces")))
+    each = found.where("size(new_words) > 0 OR size(lines) > 0").select("field_name", "item_key", F.explode(kinds).alias("k"))
+    return each.select("field_name", "item_key", "k.kind", F.explode("k.pieces").alias("piece")).distinct()
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scanned or other text once, as continuous paragraphs."""
+    return scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text").dropDuplicates(["field_name", "item_key"])
+
+
 def _evidence_texts(spark: SparkSession, folder: str) -> DataFrame:
     spans = table(spark, folder, "evidence_records").select(F.lit("evidence_records.evidence_span").alias("field"), F.col("evidence_id").alias("id"), F.col("evidence_span").alias("text"), F.lit(False).alias("is_json"))
     hits = table(spark, folder, "retrieval_hits").where("point_type = 'evidence_record'")
@@ -74,7 +92,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
