@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_duplicates, neighbours, residue, scans, split, tokenize
+from lodestone.llm import mixture, near_duplicates, neighbours, residue, scans, split, tokenize
 from lodestone.sources.tables import table
 
 #: The keys of items as SQL.
@@ -82,6 +82,20 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Topics are the sections, without their numbers."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source", "lang", "section").withColumn("topic", F.regexp_replace("section", r"^[\d. ]+", ""))
+    return mixture.mix(documents, table(spark, folder, "mix_targets"), "doc_id", "text", "source", "lang", "topic")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents", "doc_id", "text", "source", "source_pdf")
     return residue.find_residue(documents, "doc_id", "text", "source", "source_pdf").select("doc_id")
@@ -92,7 +106,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
