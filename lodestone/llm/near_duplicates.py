@@ -23,10 +23,12 @@ from lodestone.session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 #: MinHash samples folded into a sketch, and its bits.
 SAMPLES, BITS = 128, 256
-#: Bands x rows over the rarer words, and over all words for sets with few rarer ones.
-RARE_BANDS, ALL_BANDS = (22, 2), (64, 6)
-#: A word is common if it is in this share of the sets; sets with a smaller share of rarer words than FEW_RARE use all words too, those with less than LEAST_RARE only all words.
-COMMON, FEW_RARE, LEAST_RARE = 0.005, 0.5, 0.3
+#: A word is common if it is in this share of the sets or more (about; see _common_words).
+COMMON = 0.001
+#: Bands of one sample each over a set's rarer words; bands x samples over all words of sets with few rarer ones.
+RARE_BANDS, ALL_BANDS = 64, (64, 6)
+#: Rarer words beyond those that edits can remove at the threshold, below which a set also gets the bands over all words.
+SPARE = 3.0
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,6 +60,14 @@ def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _unmixed(values: np.ndarray, number: int) -> np.ndarray:
+    """The inverse of :func:`_mixed`, which is a permutation."""
+    back = lambda n: np.uint64(pow(int(_MULTIPLY[n % 1024]), -1, 2**64))
+    x = (values ^ (values >> np.uint64(32))) * back(number * 7 + 3)
+    x ^= (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    return x * back(number)
+
+
 def _minima(words: np.ndarray, starts: np.ndarray, first: int, count: int) -> np.ndarray:
     """``count`` MinHash samples (count x sets) of the non-empty sets that begin at ``starts``."""
     return np.stack([np.minimum.reduceat(_mixed(words, first + i), starts) for i in range(count)]) if len(starts) else np.zeros((count, 0), np.uint64)
@@ -86,17 +96,22 @@ def differing_limit(threshold: float, deviations: float = 4.5) -> int:
     return min(BITS, math.ceil(BITS / 2 * (1 - keep) + deviations * spread))
 
 
-def _bands(minima: np.ndarray, bands: int, rows: int, family: int) -> np.ndarray:
+def _bands(minima: np.ndarray, bands: int, rows: int, field: int) -> np.ndarray:
     """(bands x sets) hashes of the bands of ``rows`` samples."""
     out = np.empty((bands, minima.shape[1]), np.uint64)
     for band in range(bands):
-        value = np.full(minima.shape[1], np.uint64(family * 1000 + band + 1))
+        value = np.full(minima.shape[1], np.uint64(field * 1000 + band + 1))
         for sample in minima[band * rows : (band + 1) * rows]:
-            value = _mixed(value ^ sample, 900 + band % 100)
+            value = _mixed(value ^ sample, 900)
         out[band] = value
     return out
 
 
+def _single_bands(minima: np.ndarray, first: int, field: int) -> np.ndarray:
+    """(bands x sets) hashes of bands of one sample: of the sampled word, so that all bands share their buckets."""
+    return np.stack([_mixed(_unmixed(sample, first + i) ^ np.uint64(field + 1), 901) for i, sample in enumerate(minima)])
+
+
 def fold_copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``items`` (field, id, text, is_json) as (members: field, id, rid) and (sets: rid, field, words), one set a distinct content.
 
@@ -177,8 +192,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("rid", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(BITS // 64)]])
 
     def emit(bands: np.ndarray, rid: np.ndarray, sketch: np.ndarray):
-        count = bands.shape[0]
-        columns = [bands.reshape(-1).view(np.int64), np.tile(rid, count), *[np.tile(sketch[:, i].view(np.int64), count) for i in range(sketch.shape[1])]]
+        columns = [bands.view(np.int64), rid, *[np.ascontiguousarray(sketch[:, i]).view(np.int64) for i in range(sketch.shape[1])]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=kind.fieldNames())
 
     def work(batches):
@@ -198,19 +212,20 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
                     at = np.searchsorted(common[field], words)
                     rare = np.ones(len(words), bool) if not len(common[field]) else common[field][np.minimum(at, len(common[field]) - 1)] != words
                     n_rare = np.add.reduceat(rare.astype(np.int64), starts)
-                    share = n_rare / sizes
-                    banded = np.flatnonzero((share >= LEAST_RARE) & (n_rare > 0))
-                    if len(banded):
-                        chosen = rare & np.repeat((share >= LEAST_RARE) & (n_rare > 0), sizes)
-                        rare_starts = np.concatenate([[0], np.cumsum(n_rare[banded])[:-1]]).astype(np.int64)
-                        bands, rows = RARE_BANDS
-                        yield emit(_bands(_minima(words[chosen], rare_starts, 200, bands * rows), bands, rows, 2 * number), rids[mine][banded], sketch[banded])
-                    few = np.flatnonzero(share < FEW_RARE)
-                    if len(few):
-                        chosen = np.repeat(share < FEW_RARE, sizes)
+                    having = np.flatnonzero(n_rare > 0)
+                    if len(having):
+                        rare_starts = np.concatenate([[0], np.cumsum(n_rare[having])[:-1]]).astype(np.int64)
+                        samples = np.sort(_single_bands(_minima(words[rare], rare_starts, 200, RARE_BANDS), 200, number), axis=0)
+                        fresh = np.ones(samples.shape, bool)
+                        fresh[1:] = samples[1:] != samples[:-1]
+                        at = np.nonzero(fresh)[1]
+                        yield emit(samples[fresh], rids[mine][having][at], sketch[having][at])
+                    few = n_rare - (1 - threshold) / (1 + threshold) * sizes < SPARE
+                    if few.any():
                         few_starts = np.concatenate([[0], np.cumsum(sizes[few])[:-1]]).astype(np.int64)
                         bands, rows = ALL_BANDS
-                        yield emit(_bands(_minima(words[chosen], few_starts, 300, bands * rows), bands, rows, 2 * number + 1), rids[mine][few], sketch[few])
+                        hashes = _bands(_minima(words[np.repeat(few, sizes)], few_starts, 300, bands * rows), bands, rows, number)
+                        yield emit(hashes.reshape(-1), np.tile(rids[mine][few], bands), np.tile(sketch[few], (bands, 1)))
 
     banded = sets.select("rid", "field", "words").mapInArrow(work, kind)
     differing = None
