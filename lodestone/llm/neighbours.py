@@ -158,6 +158,11 @@ def search(tree: VantageTree, ids: np.ndarray, queries: np.ndarray, query_ids: n
     return best
 
 
+def relaxed_radius(kth: np.ndarray, factor: float) -> np.ndarray:
+    """The pruning radius of queries whose k-th best score so far is ``kth``; without bound while they have fewer than k."""
+    return np.where(kth < -1.5, 4.0, chord(np.maximum(kth, -1.0)) / factor)
+
+
 class _Radii:
     """Pruning radii of the queries: the distance of the k-th best so far over the factor."""
 
@@ -165,7 +170,7 @@ class _Radii:
         self.bound, self.factor = bound, factor
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
-        return chord(np.maximum(self.bound[rows], -1.0)) / self.factor
+        return relaxed_radius(self.bound[rows], self.factor)
 
 
 def units_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +266,9 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor:
             tree = VantageTree(units, LEAF)
             best = search(tree, ids[tree.order], units, ids, k, factor)
             kth = best.scores[:, -1]
-            radius = chord(np.maximum(kth, -1.0)) / factor
-            if factor > 1:
-                radius = np.minimum(radius, np.quantile(radius, 0.9))
+            radius = relaxed_radius(kth, factor)
+            if factor > 1 and (kth > -1.5).any():
+                radius = np.where(kth > -1.5, np.minimum(radius, np.quantile(radius[kth > -1.5], 0.9)), radius)
             targets: list[list[int]] = [[] for _ in ids]
             if top:
                 for leaf, rows in top.reached(units, radius):
