@@ -153,7 +153,7 @@ _SCIENTIFIC = rf"""regexp_replace(replace(replace(regexp_replace(regexp_replace(
     '(\d)\s+(\d)\s*\\?\s*{_DEGREE}C', '\1\2 C', 'g'), '(\d)\s+(\d)\s*~?\s*{_DEGREE}\\mathrm\s*\{{\s*C\s*\}}', '\1\2 C', 'g'), '{_SPACE}+', ' ', 'g'),
     '\ ^ {{ \circ }}', '°'), '^ {{ \circ }}', '°'), '(\d)\s+(\d\s*(?:°|C|mg|min|h|%))', '\1\2', 'g')"""
 # RE2's word boundary is ASCII: letters beyond it are replaced by one before patterns with boundaries are matched.
-_WORDY = r"regexp_replace(%s, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{52F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]', 'q', 'g')"
+_WORDY = r"regexp_replace(%s, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{52F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{1D400}-\x{1D7FF}]', 'q', 'g')"
 _SIGNALS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({_WORDY % "coalesce(text, '')"}, '(?i){p}') THEN '{n}' END" for n, p in S.DOMAIN_PACK.items()) + ")"
 _PACK = f"""
     s AS (SELECT document_id, block_index, block_type, coalesce(page_idx, 0) AS page, {_NORMAL} AS text,
