@@ -28,3 +28,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_children": p6_children}
+
+ORACLES = {
+    "p6_found": r"""
+        WITH RECURSIVE h AS (SELECT DISTINCT ON (hit_id) CAST(hit_id AS VARCHAR) AS k, metrics, extracted FROM retrieval_hits ORDER BY hit_id, retrieved_at),
+         o AS (SELECT DISTINCT ON (recommendation_id) recommendation_id AS k, candidates FROM recommendation_outputs ORDER BY recommendation_id, created_at),
+         v(root_table, k, path, name, j) AS (
+           SELECT 'retrieval_hits', k, 'extracted', 'extracted', CAST(extracted AS JSON) FROM h WHERE json_valid(extracted)
+           UNION ALL SELECT 'recommendation_outputs', k, 'candidates', 'candidates', CAST(candidates AS JSON) FROM o WHERE json_valid(candidates)
+           UNION ALL
+           SELECT root_table, k, e.path, e.name, e.j FROM v, LATERAL (
+             SELECT CASE WHEN json_type(v.j) = 'VARCHAR' AND v.name IN ('conditions', 'steps', 'additives', 'properties', 'candidates') AND json_valid(v.j ->> '$') AND json_type(CAST(v.j ->> '$' AS JSON)) IN ('ARRAY', 'OBJECT') THEN CAST(v.j ->> '$' AS JSON) ELSE v.j END AS q) p,
+             LATERAL (
+               SELECT v.path || '.' || u.key AS path, u.key AS name, json_extract(p.q, '$."' || u.key || '"') AS j FROM (SELECT unnest(json_keys(p.q)) AS key) u WHERE json_type(p.q) = 'OBJECT' AND (v.name = '' OR v.name NOT IN ('conditions', 'steps', 'additives', 'properties', 'candidates'))
+               UNION ALL SELECT v.path || '[' || u.i || ']', '', json_extract(p.q, '$[' || u.i || ']') FROM (SELECT unnest(generate_series(0, CAST(json_array_length(p.q) AS BIGINT) - 1)) AS i) u WHERE json_type(p.q) = 'ARRAY'
+               UNION ALL SELECT v.path || '[0]', '', p.q WHERE v.name IN ('conditions', 'steps', 'additives', 'properties', 'candidates') AND json_type(p.q) NOT IN ('ARRAY', 'NULL')) e)
+        SELECT root_table, k AS root_key, path AS child_path FROM v WHERE name = '' AND json_type(j) <> 'NULL' AND regexp_matches(path, '(conditions|steps|additives|properties|candidates)\[\d+\]$')
+        UNION ALL SELECT 'retrieval_hits', k, 'metrics[' || (s - 1) || ']' FROM (SELECT k, unnest(metrics) AS m, generate_subscripts(metrics, 1) AS s FROM h) WHERE m IS NOT NULL""",
+}
