@@ -115,4 +115,11 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT l.field_name, CAST(h.hit_id AS VARCHAR) AS item_key
         FROM retrieval_hits h JOIN size_limits l ON l.field_name = 'retrieval_hits.source_chunk_text' AND length(h.source_chunk_text) > l.max_chars""",
+    "p4_found": r"""
+        WITH t AS (SELECT DISTINCT 'evidence_records.evidence_span' AS f, evidence_id AS k, evidence_span AS x FROM evidence_records WHERE evidence_span IS NOT NULL
+          UNION SELECT DISTINCT 'retrieval_hits.extracted', h.source_id, (SELECT string_agg(j.atom ->> '$', chr(10)) FROM json_tree(h.extracted) j WHERE j.type = 'VARCHAR') FROM retrieval_hits h WHERE point_type = 'evidence_record' AND extracted IS NOT NULL),
+         w AS (SELECT DISTINCT f, k, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}]+')) AS word FROM t),
+         n AS (SELECT f, k, count(*) AS n FROM w GROUP BY ALL),
+         i AS (SELECT a.f, a.k AS ka, b.k AS kb, count(*) AS i FROM w a JOIN w b ON a.f = b.f AND a.word = b.word AND a.k < b.k GROUP BY ALL)
+        SELECT i.f AS field_name, ka AS key_a, kb AS key_b FROM i JOIN n x ON x.f = i.f AND x.k = ka JOIN n y ON y.f = i.f AND y.k = kb WHERE i >= 0.75 * (x.n + y.n - i)""",
 }
