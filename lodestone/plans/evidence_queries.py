@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import signals as S
 from lodestone.functions import text as X
-from lodestone.operators import compare, contracts, evidence, index, reports, search
+from lodestone.operators import candidates, compare, contracts, evidence, index, reports, search
 from lodestone.sources.tables import table
 from lodestone.streaming import events
 
@@ -169,6 +169,15 @@ def settings_compared(spark, folder):
     return compare.changes(settings, kept).select("group_id", "ord", "field_path", "key")
 
 
+def answer_candidates(spark, folder):
+    """The candidates of each query: of the stored answer of the same number where its references hold, else from the hits."""
+    answers = table(spark, folder, "recommendation_outputs", "recommendation_id", "request_id", "candidates").dropDuplicates(["recommendation_id"])
+    one = answers.groupBy(F.col("request_id").alias("group_id")).agg(F.min_by("candidates", "recommendation_id").alias("candidates"))
+    rows = _hits(spark, folder, "query_id", "hit_rank", "source_id", "citation", "record_type", "extracted", "confidence", "text")
+    hits = rows.select(F.col("query_id").alias("group_id"), F.col("hit_rank").alias("rank"), "source_id", "citation", "record_type", F.from_json("extracted", T.MapType(T.StringType(), T.StringType())).alias("extracted"), "confidence", "text")
+    return candidates.candidates(one, hits).select("group_id", "rank", "origin", F.sha2("strategy_summary", 256).alias("summary"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
 def contract_checks(spark, folder):
     rows = _evidence(spark, folder, "metrics", "evidence_span", "confidence", "record_type", "page_start", "page_end")
     m = F.col("metrics")
@@ -229,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, point_scores,
-        hits_enriched, hit_parents, hit_contexts, hits_ranked, references_resolved, settings_compared, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
+        hits_enriched, hit_parents, hit_contexts, hits_ranked, references_resolved, settings_compared, answer_candidates, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
     )
 }
 
