@@ -33,6 +33,9 @@ HYPHENS = "-‐‑¬\xad"
 TOKEN = re.compile(r"[^\W_]+(?:\|+[^\W_]+)*\|?|\|+[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 CUT = re.compile(rf"([^\W_|]+(?:\|[^\W_|]+)*)[{HYPHENS}][^\S\n]*$")
+#: Numbers count as one word in the model; tokens with several groups of digits or a long one are codes.
+NUMBERS, NUMBER = re.compile(r"\d+(?:[.,]\d+)?"), "0"
+MANY_DIGITS = re.compile(r"\d\d|\d.*\d.*\d")
 HYPHENED = re.compile(r"\b([^\W\d_]{1,40})-(?=([^\W\d_]{1,40}))")
 #: What a running line ends with, or has at its start; a quick test before :data:`RUNNING`.
 EDGE = re.compile(r"[\dOolI|]")
@@ -87,7 +90,7 @@ def _interrupts(before: str, line: str, after: str, pairs: dict) -> bool:
     """Whether ``line`` stands between two lines that continue each other."""
     if cut_word(before) or re.search(r"[.!?:;]\s*$", line) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line):
         return False
-    words = [TOKEN.findall(x.lower()) for x in (before, line, after)]
+    words = [TOKEN.findall(NUMBERS.sub(NUMBER, x.lower())) for x in (before, line, after)]
     if not all(words) or not after.strip()[:1].islower():
         return False
     goes_on = (words[0][-1], words[2][0]) in pairs
@@ -121,6 +124,8 @@ class Model:
         """(word, log of the confusion probability) of what ``token`` may stand for, itself included; only itself if beyond doubt."""
         known = self.options.get(token)
         if known is None:
+            if MANY_DIGITS.search(token):
+                return [(token, 0.0)]
             if len(self.options) > 300_000:
                 self.options.clear()
                 self.clean.clear()
@@ -171,12 +176,15 @@ class Model:
 
     def decode(self, tokens: list[str]) -> list[str]:
         """The most likely words behind the lower-case ``tokens`` of a line (Viterbi)."""
-        options = [self.candidates(t) for t in tokens]
+        options = [[(NUMBER, 0.0)] if t.isdigit() else self.candidates(t) for t in tokens]
         if all(len(o) == 1 for o in options):
             return tokens
-        best: list[tuple[float, int]] = [(0.0, -1)]
         states, back = [(None, 0.0)], []
         for choice in options:
+            if len(choice) == len(states) == 1:  # every path goes here, so earlier scores no longer matter
+                states = [(choice[0][0], 0.0)]
+                back.append([0])
+                continue
             scored, origin = [], []
             for word, cost in choice:
                 before, (name, score) = max(enumerate(states), key=lambda s: s[1][1] + self.likelihood(s[1][0], word))
@@ -186,8 +194,8 @@ class Model:
             back.append(origin)
         at = max(range(len(states)), key=lambda i: states[i][1])
         out = []
-        for choice, origin in zip(reversed(options), reversed(back)):
-            out.append(choice[at][0])
+        for token, choice, origin in zip(reversed(tokens), reversed(options), reversed(back)):
+            out.append(choice[at][0] if len(choice) > 1 else token)
             at = origin[at]
         return out[::-1]
 
@@ -228,8 +236,8 @@ class Model:
         return ("\n" if BULLET.match(text) else "\n\n").join(paragraphs), gone
 
     def _corrected(self, line: str) -> str:
-        low = line.lower()
-        if self.clean.issuperset(TOKEN.findall(low)):
+        unseen = set(TOKEN.findall(line.lower())) - self.clean
+        if all(len(self.candidates(token)) == 1 for token in unseen):
             return line
         spans = list(TOKEN.finditer(line))
         tokens = [m.group().lower() for m in spans]
@@ -252,7 +260,8 @@ def counted(text: str, words: Counter, pairs: Counter, hyphens: Counter) -> None
     lines, _ = without_furniture(text)
     skip = False
     for line in lines:
-        tokens = TOKEN.findall(line.lower())
+        line = line.lower()
+        tokens = TOKEN.findall(NUMBERS.sub(NUMBER, line))
         if skip:
             tokens = tokens[1:]
         skip = cut_word(line) is not None
@@ -260,7 +269,8 @@ def counted(text: str, words: Counter, pairs: Counter, hyphens: Counter) -> None
             tokens = tokens[:-1]
         words.update(tokens)
         pairs.update(zip(tokens, tokens[1:]))
-        hyphens.update(HYPHENED.findall(line.lower()))
+        if "-" in line:
+            hyphens.update(HYPHENED.findall(line))
 
 
 def learn(df: DataFrame, text: str) -> Model:
@@ -273,8 +283,7 @@ def learn(df: DataFrame, text: str) -> Model:
             for value in batch.column(0).to_pylist():
                 if value:
                     counted(value, words, pairs, hyphens)
-            words = Counter({w: n for w, n in words.items() if not w.isdigit()})
-            rows = [("w", w, "", n) for w, n in words.items()] + [("p", a, b, n) for (a, b), n in pairs.items() if not (a.isdigit() and b.isdigit())] + [("h", a, b, n) for (a, b), n in hyphens.items()] + [("t", "", "", words.total())]
+            rows = [("w", w, "", n) for w, n in words.items()] + [("p", a, b, n) for (a, b), n in pairs.items()] + [("h", a, b, n) for (a, b), n in hyphens.items()] + [("t", "", "", words.total())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=kind.fieldNames())
 
     from lodestone.session import cut_lineage
