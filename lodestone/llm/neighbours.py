@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 #: Vectors from which the top tree is fitted; the index itself holds every vector.
 SAMPLE = 8192
 #: Vectors a shard is meant for, and a tree's leaf.
-SHARD, LEAF = 12_000, 256
+SHARD, LEAF = 20_000, 256
 SCALE = 32767.0
 
 
@@ -275,7 +276,9 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor:
                     for row in rows.tolist():
                         targets[row].append(shards[leaf])
             lists = listed(best, np.full(len(ids), -2.0, np.float32))
-            whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number, np.int32)), table.column("unit").combine_chunks(), pa.array(np.full(len(ids), part, np.int32)), pa.array(kth), pa.array(targets, pa.list_(pa.int32())), *lists], names=found.fieldNames())
+            asking = pa.array([any(t != number for t in own) or parts[number] > 1 for own in targets])
+            vectors = pc.if_else(asking, table.column("unit").combine_chunks(), pa.scalar(None, pa.binary()))
+            whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number, np.int32)), vectors, pa.array(np.full(len(ids), part, np.int32)), pa.array(kth), pa.array(targets, pa.list_(pa.int32())), *lists], names=found.fieldNames())
             for a in range(0, len(ids), 4096):
                 yield whole.slice(a, 4096)
 
