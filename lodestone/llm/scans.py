@@ -87,14 +87,14 @@ def without_furniture(text: str, pairs: dict | None = None) -> tuple[list[str],
 
 
 def _interrupts(before: str, line: str, after: str, pairs: dict) -> bool:
-    """Whether ``line`` stands between two lines that continue each other."""
-    if cut_word(before) or re.search(r"[.!?:;]\s*$", line) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line):
+    """Whether ``line``, whose own words don't read as text, stands between two lines that continue each other."""
+    if re.search(r"[.!?:;]\s*$", before) or re.search(rf"[.!?:;,{HYPHENS}]\s*$", line) or cut_word(before) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line) or not after.strip()[:1].islower():
         return False
     words = [TOKEN.findall(NUMBERS.sub(NUMBER, x.lower())) for x in (before, line, after)]
-    if not all(words) or not after.strip()[:1].islower():
+    inside = list(zip(words[1], words[1][1:]))
+    if not all(words) or sum(pair in pairs for pair in inside) > 0.2 * len(inside):
         return False
-    goes_on = (words[0][-1], words[2][0]) in pairs
-    return goes_on and (words[0][-1], words[1][0]) not in pairs and (words[1][-1], words[2][0]) not in pairs
+    return (words[0][-1], words[2][0]) in pairs and (words[0][-1], words[1][0]) not in pairs and (words[1][-1], words[2][0]) not in pairs
 
 
 def joined_lines(lines: list[str]) -> list[list[str]]:
