@@ -129,3 +129,38 @@ def name_uuid(name: Column) -> Column:
     raw = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(raw, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     return F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12))
+
+
+def named_enzyme(text: Column) -> Column:
+    """The enzyme a request names: a known name it contains, else what stands before its first comma, stop or line end."""
+    low = F.lower(text)
+    full = "Burkholderia cepacia lipase"
+    known = F.when(low.contains(full.lower()) | low.contains("bcl"), full).when(low.contains("lipase"), "lipase")
+    return F.coalesce(known, strip(F.get(F.split(text, r"[，,。.\n]"), F.lit(0))))
+
+
+def plain_symbols(text: Column) -> Column:
+    """LaTeX forms of the kinetic constants as plain symbols."""
+    for latex, plain in (("$K _ { m }$", "Km"), ("$V _ { m a x }$", "Vmax"), ("$V _ { m a x } / K _ { m }$", "Vmax / Km")):
+        text = F.replace(text, F.lit(latex), F.lit(plain))
+    return text
+
+
+def first_present(*values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.coalesce(*[F.when(strip(v.cast("string")) != "", v.cast("string")) for v in values])
+
+
+def plain_items(items: Column) -> Column:
+    """The non-blank texts of a list, stripped; empty for null."""
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
+def object_or_null(text: Column) -> Column:
+    """``text`` if it is a JSON object, else null."""
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+
+
+def query_text(*parts: Column, fixed: str = "") -> Column:
+    """The non-blank ``parts`` and the fixed words, joined by spaces."""
+    return F.concat_ws(" ", *[F.nullif(strip(p), F.lit("")) for p in parts], F.lit(fixed)) if fixed else F.concat_ws(" ", *[F.nullif(strip(p), F.lit("")) for p in parts])

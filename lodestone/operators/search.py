@@ -65,3 +65,59 @@ def context(hits: DataFrame, group: str, width: int = 900) -> DataFrame:
     block = F.format_string("[%d] %s (score %.4f)\n%s", F.col("hit_rank"), F.coalesce("citation", F.lit("<unknown>")), F.col("score"), F.substring(F.coalesce("text", F.lit("")), 1, width))
     each = hits.select(group, "hit_rank", block.alias("block"))
     return each.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hit_rank", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
+
+
+def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, size: int, k: int = 5, chunk: int = 50_000) -> DataFrame:
+    """(query, ``key``, score): the ``k`` most similar points of each query, exact; a query doesn't find its own key.
+
+    Both sides have ``key`` and ``vector``; vectors that aren't ``size`` numbers or have no length are
+    left out. The points are cut into chunks of about ``chunk`` by a hash of their key; every query is
+    sent to every chunk, whose task keeps its points and streams the queries in blocks, so only k
+    candidates a query and chunk leave it. Ties go to the lower key.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    usable = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == size) & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    parts = max(1, -(-points.count() // chunk))
+    held = usable(points).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
+    asked = usable(queries).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "v")
+    out = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def unit(column):
+        matrix = column.flatten().to_numpy().reshape(-1, size)
+        return matrix / np.linalg.norm(matrix, axis=1)[:, None]
+
+    def work(batches):
+        now, ids, units, stock = None, None, None, []
+        for batch in batches:
+            part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if part[a] != now:
+                    now, units, stock = part[a], None, []
+                if kind[a] == 0:
+                    stock.append(rows)
+                    continue
+                if units is None:
+                    if not stock:
+                        continue
+                    ids = np.concatenate([x.column(2).to_numpy() for x in stock])
+                    order = np.argsort(ids, kind="stable")
+                    ids, units, stock = ids[order], np.concatenate([unit(x.column(3)) for x in stock])[order], []
+                who, vectors = rows.column(2).to_numpy(), unit(rows.column(3))
+                for c in range(0, len(who), 256):
+                    own = who[c : c + 256]
+                    scores = vectors[c : c + 256] @ units.T
+                    scores[own[:, None] == ids[None, :]] = -3.0
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(scores, best, 1)
+                    good = value > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(axis=1))), pa.array(ids[best][good]), pa.array(value[good])], names=out.fieldNames())
+
+    found = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(work, out)
+    return top_per_group(found, ["query"], [F.col("score").desc(), "id"], k).select("query", F.col("id").alias(key), "score")

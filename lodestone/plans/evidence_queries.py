@@ -126,6 +126,19 @@ def point_scores(spark, folder):
     return rows.select("vec_no", F.round(search.cosine(F.col("vector"), query), 6).alias("score"))
 
 
+def search_batch(spark, folder):
+    """The five most similar points of every fiftieth point, among all points."""
+    rows = table(spark, folder, "points", "vec_no", "vector")
+    found = search.search_many(rows, rows.where("vec_no % 50 = 0"), "vec_no", "vector", 64)
+    return found.select("query", "vec_no", F.round("score", 6).alias("score"))
+
+
+def requests_named(spark, folder):
+    """The enzyme and the query text of each request."""
+    rows = table(spark, folder, "recommendation_inputs", "request_id", "enzyme_name", "enzyme_source", "objective").dropDuplicates(["request_id"])
+    return rows.select("request_id", X.named_enzyme(F.concat_ws(", ", "enzyme_name", "enzyme_source")).alias("enzyme"), X.query_text(F.col("enzyme_name"), F.col("objective.primary"), fixed="immobilization").alias("query_text"), F.array_join(X.plain_items(F.col("objective.secondary")), ",").alias("secondary"))
+
+
 def hits_enriched(spark, folder):
     """Hits with the citation of their parent point, else of their own."""
     rows = _hits(spark, folder, "source_id", "parent_source_id")
@@ -237,7 +250,7 @@ def names_shortest(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, point_scores,
+        review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, search_batch, requests_named, point_scores,
         hits_enriched, hit_parents, hit_contexts, hits_ranked, references_resolved, settings_compared, answer_candidates, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
     )
 }
@@ -272,6 +285,11 @@ ORACLES = {
     "search_top": f"WITH {_Q}, s AS (SELECT vec_no, payload_key, {_SCORE} AS score FROM points, q WHERE len(vector) = 64 AND point_type = 'evidence_record' AND usable_for_ranking ORDER BY score DESC, payload_key LIMIT 8) SELECT vec_no, payload_key, round(score, 6) AS score FROM s",
     "search_everything": f"WITH {_Q}, s AS (SELECT vec_no, point_type, payload_key, {_SCORE} AS score FROM points, q WHERE len(vector) = 64 ORDER BY score DESC, payload_key LIMIT 20) SELECT vec_no, point_type, round(score, 6) AS score FROM s",
     "point_scores": f"WITH {_Q} SELECT vec_no, round({_SCORE}, 6) AS score FROM points, q WHERE len(vector) = 64",
+    "search_batch": f"""WITH u AS (SELECT vec_no, vector FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0), s AS (SELECT q.vec_no AS query, p.vec_no AS vec_no, list_cosine_similarity(q.vector, p.vector) AS score FROM u q JOIN u p ON q.vec_no % 50 = 0 AND p.vec_no <> q.vec_no),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_no) AS k FROM s) SELECT query, vec_no, round(score, 6) AS score FROM r WHERE k <= 5""",
+    "requests_named": f"""WITH r AS (SELECT DISTINCT ON (request_id) *, concat_ws(', ', enzyme_name, enzyme_source) AS t FROM recommendation_inputs ORDER BY request_id, submitted_at)
+        SELECT request_id, CASE WHEN contains(lower(t), 'burkholderia cepacia lipase') OR contains(lower(t), 'bcl') THEN 'Burkholderia cepacia lipase' WHEN contains(lower(t), 'lipase') THEN 'lipase' ELSE trim(regexp_extract(t, '^[^，,。.\\n]*')) END AS enzyme,
+               concat_ws(' ', nullif(trim(enzyme_name), ''), nullif(trim(objective.primary), ''), 'immobilization') AS query_text, coalesce(array_to_string(list_filter(list_transform(objective.secondary, lambda x: trim(x)), lambda x: x <> ''), ','), '') AS secondary FROM r""",
     "hits_enriched": f"WITH {_H}, p AS (SELECT source_id AS s, any_value(citation) AS parent_citation FROM points GROUP BY 1) SELECT hit_id, parent_citation FROM h LEFT JOIN p ON coalesce(parent_source_id, source_id) = s",
     "hit_parents": f"WITH {_H}, {_E} SELECT h.hit_id, e.source_id AS parent, e.record_type FROM h LEFT JOIN e ON h.source_id = e.evidence_id WHERE h.point_type = 'evidence_record'",
     "hits_ranked": f"WITH {_H}, r AS (SELECT query_id, hit_id, source_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS INTEGER) AS rank FROM h WHERE usable_for_ranking) SELECT query_id, rank, hit_id, source_id FROM r WHERE rank <= 3",

@@ -47,3 +47,38 @@ def artifact_kind(path: Column) -> Column:
     """The kind of a parser artifact by its name."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     return F.when(name.endswith("_content_list.json"), "content_list").when(name.endswith(".json"), "json").when(name.endswith(".md"), "markdown").when(name.endswith(".pdf"), "pdf").when(name.rlike(r"\.(png|jpe?g|gif|webp)$"), "image").when(name.endswith(".jsonl"), "jsonl").otherwise("other")
+
+
+def profile(spark: SparkSession, pattern: str) -> DataFrame:
+    """(kind, n_files, n_bytes) of the files that match."""
+    listed = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    return listed.groupBy(artifact_kind(F.col("path")).alias("kind")).agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+def is_zip(content: Column) -> Column:
+    """Whether bytes begin as a zip file does."""
+    return F.hex(F.substring(content, 1, 4)) == "504B0304"
+
+
+def artifact_folder(spark: SparkSession, pattern: str) -> str:
+    """The one folder with a content list among the files that match (newer variants, _v2, aside); an error for none or several."""
+    paths = spark.read.format("binaryFile").load(pattern).where(F.col("path").endswith("_content_list.json"))
+    folders = [r[0] for r in paths.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().limit(2).collect()]
+    if len(folders) != 1:
+        raise ValueError("several folders hold a content list" if folders else "no folder holds a content list")
+    return folders[0]
+
+
+def located(files: DataFrame, name: str) -> DataFrame:
+    """The row of ``files`` (path) for a document's file: by its exact name, else by its trimmed stem, the shortest name first.
+
+    Names with a path in them are refused, a missing suffix is added.
+    """
+    wanted = name.strip()
+    if not wanted or "/" in wanted or "\\" in wanted:
+        return files.limit(0)
+    wanted = wanted if wanted.lower().endswith(".pdf") else wanted + ".pdf"
+    base = F.element_at(F.split("path", "/"), -1)
+    stem = lambda c: F.trim(F.regexp_replace(c, r"(?i)\.pdf$", ""))
+    found = files.withColumn("_name", base).where((F.trim("_name") == wanted) | (stem(F.col("_name")) == wanted[:-4].strip()))
+    return found.orderBy((F.col("_name") != wanted).cast("int"), F.length("_name"), "_name").limit(1).drop("_name")

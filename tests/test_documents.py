@@ -159,3 +159,33 @@ def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "k string, v int")
     assert sorted(map(tuple, index.upsert(old, new, "k", "v").collect())) == [("a", 1), ("b", 3), ("c", 1)]
+
+
+def test_small_helpers(spark, tmp_path):
+    assert one(spark, X.named_enzyme(F.lit("please use bcl, on resin"))) == "Burkholderia cepacia lipase" and one(spark, X.named_enzyme(F.lit("Laccase。on"))) == "Laccase"
+    assert one(spark, X.plain_symbols(F.lit("$K _ { m }$ and $V _ { m a x }$"))) == "Km and Vmax"
+    assert one(spark, X.first_present(F.lit(None), F.lit(" "), F.lit(5))) == "5"
+    assert one(spark, X.plain_items(F.array(F.lit(" a "), F.lit(""), F.lit(None)))) == ["a"]
+    assert [one(spark, X.object_or_null(F.lit(x))) for x in ('{"a": 1}', "[1]", "broken", None)] == ['{"a": 1}', None, None, None]
+    assert one(spark, files.is_zip(F.lit(bytearray(b"PK\x03\x04rest")))) is True
+    for name in ("B1.pdf", "B1 .pdf", "C.md"):
+        (tmp_path / name).write_bytes(b"x")
+    paths = files.provenance(spark, str(tmp_path / "*")).select(F.regexp_replace("path", "%20", " ").alias("path"))
+    assert files.located(paths, "B1").head().path.endswith("/B1.pdf") and files.located(paths, "../B1").count() == 0
+    assert {r.kind: r.n_files for r in files.profile(spark, str(tmp_path / "*")).collect()} == {"pdf": 2, "markdown": 1}
+    with pytest.raises(ValueError):
+        files.artifact_folder(spark, str(tmp_path / "*"))
+
+
+def test_search_many(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0])], "k bigint, v array<double>")
+    got = search.search_many(df, df.where("k % 10 = 0"), "k", "v", 3, 4, chunk=13).toPandas()
+    import numpy as np
+
+    m = np.array([[i % 7, i % 5, 1.0] for i in range(60)])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for q, rows in got.groupby("query"):
+        scores = m @ m[q]
+        scores[q] = -3
+        assert np.allclose(sorted(rows.score), np.sort(scores)[-4:])
+    assert set(got["query"]) == set(range(0, 60, 10)) and got.groupby("query").size().eq(4).all()
