@@ -20,6 +20,9 @@ PLACEHOLDER = re.compile(
 #: Forms that only count in the given case (the pattern above ignores it).
 LOWER_ONLY = re.compile(r"^[«{](?!\{|%)")
 
+#: Where a placeholder can begin.
+MARK = re.compile(r"[{<$#%«\[@_X]|xxx_")
+
 # Sentences that stand in for content, by kind.
 FILLER = re.compile(
     r"\blorem ipsum\b|\bdolor sit amet\b|\bthis is (?:a )?(?:sample|dummy|placeholder) text\b|\bsample text used to\b|\breplace this (?:paragraph|text|section|sentence)\b|\b(?:text|content|abstract|title|description)(?: of (?:the|this) \w+)? goes here\b"
@@ -39,20 +42,35 @@ ERROR = re.compile(
     r"|\bseite (?:wurde )?nicht gefunden\b|\bzugriff verweigert\b|\bdienst nicht verfügbar\b|\bpage introuvable\b|\baccès (?:refusé|interdit)\b|\bservice indisponible\b|\bno se ha encontrado la página\b|\bpágina no encontrada\b|\bacceso denegado\b|\bservicio no disponible\b|页面不存在|页面未找到|找不到(?:该|此)?页面|系统繁忙|访问被拒绝|拒绝访问|服务不可用|服务器(?:内部)?错误|网关超时",
     re.I,
 )
+# Every match of the three patterns has one of these, in lower case; texts without any are not searched.
+TRIGGERS = (
+    "lorem ipsum", "dolor sit amet", "sample text", "dummy", "placeholder text", "replace this", "goes here", "your title", "your text", "your abstract", "your content", "your name", "type your", "beispieltext", "blindtext", "platzhaltertext", "d'exemple", "d’exemple", "faux", "texto de",
+    "此处填写", "在此输入", "示例文本", "占位文本", "script", "cookie", "skript", "脚本", "your browser", "not found", "forbidden", "gateway", "unavailable", "internal server", "unauthori", "bad request", "too many", "http", "error", "fehler", "erreur", "access denied", "access to this", "session",
+    "went wrong", "subscription", "be found", "be located", "be displayed", "be loaded", "is missing", "not exist", "longer exists", "not available", "has been removed", "maintenance", "human", "nicht gefunden", "verweigert", "nicht verfügbar", "introuvable", "accès", "indisponible",
+    "no se ha encontrado", "no encontrada", "acceso denegado", "no disponible", "页面", "系统繁忙", "访问", "服务", "网关",
+)
 WORDS = re.compile(r"[^\W\d_]{3,}")
+PARAGRAPHS = re.compile(r"\n\s*\n")
 SEGMENTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 #: Words in a lexicon occur in this share of the documents at least, and in LEAST of them: so a lexicon has at most words-a-document / share entries.
 KNOWN_SHARE, TOPIC_SHARE, LEAST = 0.002, 0.02, 3
 #: Words of running text beside a message from which on the document is a text that speaks of such things.
 REAL_WORDS = 40
+#: Words of a first line that can be a title.
+TITLE_WORDS = 20
 
 EVIDENCE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("host", T.StringType()), T.StructField("slug", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("body", T.StringType()), T.StructField("rest", T.IntegerType()), T.StructField("mismatch", T.BooleanType())])
 
 
 def placeholders(text: str) -> list[str]:
     """The unfilled placeholders in ``text``."""
-    found = [m.group() for m in PLACEHOLDER.finditer(text)]
-    return [f for f in found if not (LOWER_ONLY.match(f) and f != f.lower())]
+    found, end = [], 0
+    for mark in MARK.finditer(text):
+        if mark.start() >= end and (match := PLACEHOLDER.match(text, mark.start())):
+            end = match.end()
+            if not (LOWER_ONLY.match(match.group()) and match.group() != match.group().lower()):
+                found.append(match.group())
+    return found
 
 
 def plain(segment: str) -> str:
@@ -69,12 +87,17 @@ def lexicons(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if r["count"] >= topical)
 
 
-def filler_words(text: str, known: frozenset[str]) -> bool:
-    """Whether some paragraph of ten words or more is made of words that no other texts use."""
-    for paragraph in re.split(r"\n\s*\n", text):
-        words = [w.lower() for w in WORDS.findall(paragraph)]
-        if len(words) >= 10 and sum(w in known for w in words) < 0.3 * len(words):
-            return True
+def filler_words(paragraphs: list[str], plain_known: list[int], known: frozenset[str]) -> bool:
+    """Whether some paragraph of ten words or more is made of words that no other texts use.
+
+    ``plain_known``: the known words between spaces of each paragraph. A word takes four characters
+    with what parts it from the next, so many of these rule a paragraph out without reading its words.
+    """
+    for paragraph, least in zip(paragraphs, plain_known):
+        if least < 0.3 * (len(paragraph) + 1) / 4:
+            words = WORDS.findall(paragraph)
+            if len(words) >= 10 and sum(map(known.__contains__, words)) < 0.3 * len(words):
+                return True
     return False
 
 
@@ -82,10 +105,18 @@ def examine(text: str, known: frozenset[str], topical: frozenset[str]) -> tuple[
     """(kind, body, words beside the message, whether title and body share no term) of a suspicious text, else None."""
     if placeholders(text):
         return "placeholder", "", 0, True
+    low = text.lower()
+    paragraphs = PARAGRAPHS.split(low)
+    plain_known = [len([w for w in p.split() if w in known]) for p in paragraphs]
+    told = any(t in low for t in TRIGGERS)
+    if not told and sum(plain_known) > 2 * REAL_WORDS + TITLE_WORDS:
+        return ("filler", "", 0, True) if filler_words(paragraphs, plain_known, known) else None
     segments = [s for s in SEGMENTS.split(text) if s.strip()]
-    title = segments[0] if len(segments) > 1 and "\n" in text and not re.search(r"[.!?。！？]$", segments[0]) and 3 <= len(segments[0].split()) <= 20 else ""
-    kinds = [(next((k for k, p in (("filler", FILLER), ("notice", NOTICE), ("error", ERROR)) if p.search(s)), None), s) for s in segments]
+    title = segments[0] if len(segments) > 1 and "\n" in text and not re.search(r"[.!?。！？]$", segments[0]) and 3 <= len(segments[0].split()) <= TITLE_WORDS else ""
+    kinds = [(next((k for k, p in (("filler", FILLER), ("notice", NOTICE), ("error", ERROR)) if p.search(s)), None) if told else None, s) for s in segments]
     message = [(k, s) for k, s in kinds if k]
+    if not message and filler_words(paragraphs, plain_known, known):
+        return "filler", "", 0, True
     body = [s for k, s in kinds if not k and s is not title]
     title_terms = {w.lower() for w in WORDS.findall(title)}
     terms = {w.lower() for s in (s for _, s in kinds if s is not title) for w in WORDS.findall(s)}
@@ -93,8 +124,6 @@ def examine(text: str, known: frozenset[str], topical: frozenset[str]) -> tuple[
     rest = sum(len(WORDS.findall(s)) for s in body)
     if message:
         return message[0][0], plain(message[0][1]), rest, mismatch
-    if filler_words(text, known):
-        return "filler", "", 0, True
     if 3 <= rest <= REAL_WORDS and not terms & topical:
         return "unknown", " / ".join(sorted(plain(s) for s in body)), rest, mismatch
     return None
