@@ -2,7 +2,7 @@
 
 A reading states its unit in ``unit`` or in its raw text; those are converted from the reading
 itself. What states none is resolved from its history: the readings of one source and quantity, in
-order, are segmented by exact penalised changepoint search (PELT) on log values, and a segment of
+order, are segmented by exact penalised changepoint search on log values, and a segment of
 unstated readings whose level is off the source's level by the shift of a known unit has that unit.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -95,18 +96,43 @@ def times_100(amount: Decimal, factor: Decimal, offset: Decimal) -> int:
 
 
 def changepoints(values: np.ndarray, penalty: float) -> list[int]:
-    """Ends of the segments that minimise the squared deviation from the segment means plus ``penalty`` a segment; exact (PELT)."""
+    """Ends of the segments that minimise the squared deviation from the segment means plus ``penalty`` a segment.
+
+    Exact, by functional pruning: for each level that the running segment can have only its best start
+    is kept, so long histories without any change stay near linear (where PELT keeps every start).
+    """
     n = len(values)
-    total, square = np.concatenate([[0.0], np.cumsum(values)]), np.concatenate([[0.0], np.cumsum(values**2)])
-    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
-    starts = np.array([0])
+    if not n:
+        return []
+    centred = values - values.mean()
+    total, square = np.concatenate([[0.0], np.cumsum(centred)]).tolist(), np.concatenate([[0.0], np.cumsum(centred**2)]).tolist()
+    lowest, highest = float(centred.min()) - 1, float(centred.max()) + 1
+    last = np.zeros(n + 1, np.int64)
+    pieces = [(lowest, highest, 0, 0.0)]  # for the levels from, to: the best start, and the cost up to it with the penalty
     for t in range(1, n + 1):
-        length = t - starts
-        cost = best[starts] + (square[t] - square[starts]) - (total[t] - total[starts]) ** 2 / length
-        k = int(np.argmin(cost))
-        best[t], last[t] = cost[k] + penalty, starts[k]
-        starts = np.append(starts[cost <= best[t]], t)
+        least, best, seen = math.inf, 0, []
+        for low, high, start, base in pieces:
+            length, moved = t - start, total[t] - total[start]
+            centre = moved / length
+            floor = base + (square[t] - square[start]) - moved * centre
+            away = low - centre if centre < low else centre - high if centre > high else 0.0
+            cost = floor + length * away * away
+            if cost < least:
+                least, best = cost, start
+            seen.append((low, high, start, base, length, centre, floor))
+        last[t] = best
+        limit, edge, pieces = least + penalty, lowest, []
+        for low, high, start, base, length, centre, floor in seen:
+            if floor < limit:
+                reach = math.sqrt((limit - floor) / length)
+                low, high = max(low, centre - reach), min(high, centre + reach)
+                if low < high:
+                    if low > edge:
+                        pieces.append((edge, low, t, limit))
+                    pieces.append((low, high, start, base))
+                    edge = high
+        if edge < highest:
+            pieces.append((edge, highest, t, limit))
     ends, t = [], n
     while t > 0:
         ends.append(t)
@@ -147,7 +173,7 @@ def assumed_units(common: str, values: np.ndarray, known: np.ndarray, level: tup
     return out
 
 
-def to_common_units(readings: DataFrame, common: DataFrame, window_days: int = 30, block: int = 4096) -> DataFrame:
+def to_common_units(readings: DataFrame, common: DataFrame) -> DataFrame:
     """Every reading in its common unit.
 
     ``readings``: field_name, item_key, pos, quantity, source, seq (microseconds), value, unit, raw;
@@ -157,59 +183,74 @@ def to_common_units(readings: DataFrame, common: DataFrame, window_days: int = 3
 
     Quantities without a common unit give no rows; a repeated (field_name, item_key, pos) counts
     once; null sources are one history; equal ``seq`` are ordered by key and place; non-finite
-    values count as null. A history is segmented in windows of ``window_days`` and in runs of at
-    most ``block`` readings, streamed in order, so no hot source is gathered in one task.
+    values count as null. Readings are read in any place; a history is segmented as a whole, in one
+    task that holds a number and a flag a reading, and the rows only of readings that state no unit.
     """
+    from lodestone.session import cut_lineage
+
     units = F.broadcast(common.select("field_name", "quantity", "common_unit").dropDuplicates(["field_name", "quantity"]))
     own = readings.select("field_name", "item_key", "pos", "quantity", "source", "seq", "value", "unit", "raw").join(units, ["field_name", "quantity"])
     log = F.when((F.col("unit") == F.col("common_unit")) & (F.col("value") > 0), F.log("value"))
     levels = own.groupBy("field_name", "quantity").agg(F.avg(log).alias("level"), F.stddev_pop(log).alias("spread"))
-    columns = ["field_name", "source", "quantity", "win", "seq", "item_key", "pos", "value", "unit", "raw", "common_unit", "level", "spread"]
-    ordered = (
-        own.dropDuplicates(["field_name", "item_key", "pos"])
-        .join(F.broadcast(levels), ["field_name", "quantity"])
-        .withColumn("win", F.floor(F.col("seq") / (window_days * 86_400_000_000)))
-        .select(*columns)
-        .repartition("field_name", "source", "quantity", "win")
-        .sortWithinPartitions(*columns[:7])
-    )
     kinds = {f.name: f.dataType for f in own.schema}
-    result = T.StructType([T.StructField(c, kinds[c]) for c in ("field_name", "item_key", "pos", "quantity")] + [T.StructField("how", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("value_common", T.DoubleType()), T.StructField("value_x100", T.LongType())])
-
-    def resolved(run: list[tuple]) -> list[tuple]:
-        found = [stated(r[10], r[7], r[8], r[9]) for r in run]
-        scales: list = [None] * len(run)
-        amounts: list = [None] * len(run)
-        if not all(found):
-            for i, r in enumerate(run):
-                if not found[i]:
-                    told = number(r[9])
-                    amounts[i] = Decimal(repr(r[7])) if r[7] is not None else told[0] if told else None
-            values = np.array([float(f[0] * f[1] + f[2]) if f else float(v) if v is not None else np.nan for f, v in zip(found, amounts)])
-            level = (run[0][11] if run[0][11] is not None else math.nan, max(run[0][12] or 0.0, 0.1))
-            scales = assumed_units(run[0][10], values, np.array([f is not None for f in found]), level)
+    values = [T.StructField("how", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("value_common", T.DoubleType()), T.StructField("value_x100", T.LongType())]
+    result = T.StructType([T.StructField(c, kinds[c]) for c in ("field_name", "item_key", "pos", "quantity")] + values)
+    place = ["field_name", "source", "quantity", "seq", "item_key", "pos"]
+    told = T.StructType([T.StructField(c, kinds[c]) for c in place] + [T.StructField("common_unit", T.StringType()), T.StructField("reading", T.DoubleType()), T.StructField("amount", T.StringType())] + values)
+
+    def batch_of(rows: list[tuple], kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+    told_kind, result_kind = to_arrow_schema(told), to_arrow_schema(result)
+
+    def read(batches):
+        """What each reading tells by itself: its value in the common unit, or the bare number."""
+        for batch in batches:
+            out = []
+            for *at, value, unit, raw, goal in zip(*(c.to_pylist() for c in batch.columns)):
+                value = value if value is not None and math.isfinite(value) else None
+                found = stated(goal, value, unit, raw)
+                exact = value is not None and unit == goal
+                if found:
+                    in_common = float(found[0] * found[1] + found[2])
+                    out.append((*at, goal, in_common, None, "stated", exact, in_common, times_100(*found)))
+                else:
+                    number_told = None if value is not None else number(raw)
+                    amount = Decimal(repr(value)) if value is not None else number_told[0] if number_told else None
+                    out.append((*at, goal, None if amount is None else float(amount), None if amount is None else str(amount), None, exact, None, None))
+            if out:
+                yield batch_of(out, told_kind)
+
+    rows = cut_lineage(own.dropDuplicates(["field_name", "item_key", "pos"]).select(*place, "value", "unit", "raw", "common_unit").mapInArrow(read, told))
+    histories = rows.select(*place, "common_unit", "reading", "amount", F.col("how").isNotNull().alias("known"), "exact").join(F.broadcast(levels), ["field_name", "quantity"])
+    ordered = histories.select(*place, "common_unit", "reading", "amount", "known", "exact", "level", "spread").repartition("field_name", "source", "quantity").sortWithinPartitions(*place)
+
+    def resolved(first: tuple, numbers: array, known: bytearray, unstated: list[tuple]) -> list[tuple]:
+        """The readings of a history that state no unit; ``unstated`` has each one's place in it, key, pos, amount and whether exact."""
+        level = (first[11] if first[11] is not None else math.nan, max(first[12] or 0.0, 0.1))
+        scales = assumed_units(first[6], np.array(numbers), np.array(known, bool), level)
         out = []
-        for r, told, amount, scale in zip(run, found, amounts, scales):
-            how, triple = ("stated", told) if told else ("history", (amount, *scale)) if scale else ("unresolved", None)
-            out.append((r[0], r[5], r[6], r[2], how, r[7] is not None and r[8] == r[10], *((float(triple[0] * triple[1] + triple[2]), times_100(*triple)) if triple else (None, None))))
+        for i, key, pos, amount, exact in unstated:
+            triple = (Decimal(amount), *scales[i]) if scales[i] else None
+            out.append((first[0], key, pos, first[2], "history" if triple else "unresolved", exact, *((float(triple[0] * triple[1] + triple[2]), times_100(*triple)) if triple else (None, None))))
         return out
 
-    kind = to_arrow_schema(result)
-
     def walk(batches):
-        run: list[tuple] = []
+        first, numbers, known, unstated = None, array("d"), bytearray(), []
         for batch in batches:
             done: list[tuple] = []
-            lists = [c.to_pylist() for c in batch.columns]
-            lists[7] = [v if v is not None and math.isfinite(v) else None for v in lists[7]]
-            for row in zip(*lists):
-                if run and (row[:4] != run[0][:4] or len(run) >= block):
-                    done += resolved(run)
-                    run = []
-                run.append(row)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if first is None or row[:3] != first[:3]:
+                    if unstated:
+                        done += resolved(first, numbers, known, unstated)
+                    first, numbers, known, unstated = row, array("d"), bytearray(), []
+                if not row[9]:
+                    unstated.append((len(numbers), row[4], row[5], row[8], row[10]))
+                numbers.append(math.nan if row[7] is None else row[7])
+                known.append(row[9])
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), kind)], schema=kind)
-        if run:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*resolved(run)), kind)], schema=kind)
+                yield batch_of(done, result_kind)
+        if unstated:
+            yield batch_of(resolved(first, numbers, known, unstated), result_kind)
 
-    return ordered.mapInArrow(walk, result)
+    return rows.where("how IS NOT NULL").select(*result.fieldNames()).unionByName(ordered.mapInArrow(walk, result))

@@ -69,3 +69,23 @@ def test_rows(spark):
     assert got["u3"].how == "history" and got["u3"].value_x100 == 50000
     assert got["n"].how == "unresolved" and got["n"].value_x100 is None
     assert to_common_units(df.limit(0), common).count() == 0
+
+
+def test_long_history_without_change():
+    draw = np.random.default_rng(5)
+    values = np.concatenate([draw.normal(0, 1, 12_000), draw.normal(5, 1, 8_000)])
+    assert changepoints(values, 2 * math.log(len(values) + 1)) == [12_000, 20_000]
+    assert changepoints(np.zeros(0), 1.0) == [] and changepoints(np.full(5, 2.0), 1.0) == [5]
+
+
+@pytest.mark.parametrize("apart", [1, 86_400])
+def test_a_source_keeps_its_level_over_months_and_many_readings(spark, apart):
+    """Units stated in the first months, or the first 4,096 readings, tell those that are dropped later."""
+    stated_first = 4096 if apart == 1 else 60
+    rows = [("f", f"o{i}", 0, "mass", f"lab{i % 40}", i * 10**9, 500.0 + i % 7, "mg", None) for i in range(9000)]
+    rows += [("f", f"l{i}", 0, "mass", "low", i * apart * 10**6, 0.5 + i % 5 / 100, "mg", None) for i in range(stated_first)]
+    rows += [("f", f"u{i}", 0, "mass", "low", (stated_first + 60 * (apart > 1) + i) * apart * 10**6, 0.52, None, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "field_name string, item_key string, pos int, quantity string, source string, seq bigint, value double, unit string, raw string")
+    common = spark.createDataFrame([("f", "mass", "mg")], "field_name string, quantity string, common_unit string")
+    got = {r.item_key: (r.how, r.value_x100) for r in to_common_units(df, common).collect()}
+    assert len(got) == len(rows) and {got[f"u{i}"] for i in range(10)} == {("history", 52)}
