@@ -50,12 +50,17 @@ TRIGGERS = (
     "no se ha encontrado", "no encontrada", "acceso denegado", "no disponible", "页面", "系统繁忙", "访问", "服务", "网关",
 )
 WORDS = re.compile(r"[^\W\d_]{3,}")
+HAN = re.compile(r"[\u3400-\u9fff]")
+#: Parts of an address that say nothing about the document.
+ADDRESS_PARTS = frozenset(("pdf", "html", "htm", "www", "http", "https", "com", "org"))
 PARAGRAPHS = re.compile(r"\n\s*\n")
 SEGMENTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 #: Words in a lexicon occur in this share of the documents at least, and in LEAST of them: so a lexicon has at most words-a-document / share entries.
 KNOWN_SHARE, TOPIC_SHARE, LEAST = 0.002, 0.02, 3
 #: Words of running text beside a message from which on the document is a text that speaks of such things.
 REAL_WORDS = 40
+#: Words beside a message that begins its text, up to which it stands alone.
+ALONE_WORDS = 12
 #: Words of a first line that can be a title.
 TITLE_WORDS = 20
 
@@ -78,6 +83,25 @@ def plain(segment: str) -> str:
     return re.sub(r"\W+", " ", re.sub(r"\b[A-Za-z]{0,4}-?\d[\w.-]*\b", " ", segment)).strip().lower()
 
 
+def n_words(text: str) -> int:
+    """Words of three letters or more; two Chinese characters count as a word."""
+    han = len(HAN.findall(text))
+    return len(WORDS.findall(HAN.sub(" ", text) if han else text)) + (han + 1) // 2
+
+
+def terms_of(text: str) -> set[str]:
+    return {w.lower() for w in WORDS.findall(text)}
+
+
+def unlike(before: str, after: str, slug: str | None, rest: int) -> bool:
+    """Whether what follows a title or the begin of a text shares no term with it or with the address.
+
+    A message that begins its text, under an address without words, must stand alone.
+    """
+    subject = terms_of(before) | (terms_of(slug or "") - ADDRESS_PARTS)
+    return not subject & terms_of(after) if subject else rest <= ALONE_WORDS
+
+
 def lexicons(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
     """(known, topical): the words of at least KNOWN_SHARE and TOPIC_SHARE of all texts. Their number is bounded by the shares."""
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}{3,})"), 1))).alias("word"))
@@ -101,8 +125,8 @@ def filler_words(paragraphs: list[str], plain_known: list[int], known: frozenset
     return False
 
 
-def examine(text: str, known: frozenset[str], topical: frozenset[str]) -> tuple[str, str, int, bool] | None:
-    """(kind, body, words beside the message, whether title and body share no term) of a suspicious text, else None."""
+def examine(text: str, known: frozenset[str], topical: frozenset[str], slug: str | None = None) -> tuple[str, str, int, bool] | None:
+    """(kind, body, words beside the message, whether title or address and the rest share no term) of a suspicious text, else None."""
     if placeholders(text):
         return "placeholder", "", 0, True
     low = text.lower()
@@ -113,17 +137,25 @@ def examine(text: str, known: frozenset[str], topical: frozenset[str]) -> tuple[
         return ("filler", "", 0, True) if filler_words(paragraphs, plain_known, known) else None
     segments = [s for s in SEGMENTS.split(text) if s.strip()]
     title = segments[0] if len(segments) > 1 and "\n" in text and not re.search(r"[.!?。！？]$", segments[0]) and 3 <= len(segments[0].split()) <= TITLE_WORDS else ""
-    kinds = [(next((k for k, p in (("filler", FILLER), ("notice", NOTICE), ("error", ERROR)) if p.search(s)), None) if told else None, s) for s in segments]
+    matches = [next(((k, m) for k, p in (("filler", FILLER), ("notice", NOTICE), ("error", ERROR)) if (m := p.search(s))), (None, None)) if told else (None, None) for s in segments]
+    kinds = [(k, s) for (k, _), s in zip(matches, segments)]
     message = [(k, s) for k, s in kinds if k]
     if not message and filler_words(paragraphs, plain_known, known):
         return "filler", "", 0, True
     body = [s for k, s in kinds if not k and s is not title]
-    title_terms = {w.lower() for w in WORDS.findall(title)}
-    terms = {w.lower() for s in (s for _, s in kinds if s is not title) for w in WORDS.findall(s)}
-    mismatch = not (title_terms & terms)
-    rest = sum(len(WORDS.findall(s)) for s in body)
+    rest = sum(map(n_words, body))
     if message:
-        return message[0][0], plain(message[0][1]), rest, mismatch
+        rest += sum(n_words(s) - n_words(m.group()) for (k, m), s in zip(matches, segments) if k)
+        at = next(i for i, (k, _) in enumerate(matches) if k)
+        start = matches[at][1].start()
+        if title and at > 0:
+            before, after = title, "\n".join(s for s in segments[1:] if s != title)
+        else:
+            before = "\n".join((*segments[:at], segments[at][:start]))
+            after = "\n".join((segments[at][start:], *(s for s in segments[at + 1 :] if s not in before)))  # a page's frame recurs
+        return message[0][0], plain(message[0][1]), rest, unlike(before, after, slug, rest)
+    terms = terms_of("\n".join(s for _, s in kinds if s is not title))
+    mismatch = not (terms_of(title) & terms)
     if 3 <= rest <= REAL_WORDS and not terms & topical:
         return "unknown", " / ".join(sorted(plain(s) for s in body)), rest, mismatch
     return None
@@ -134,8 +166,9 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> Da
 
     ``kind``: placeholder, filler, error, notice or unknown (a message no pattern knows). A placeholder
     or filler anywhere is a case. A message is one if there is hardly any other text and its evidence
-    is 3 or more: the pattern (2), hardly any other text (1), the same message under several addresses
-    or hosts (1), no term shared by title and body (1); an unknown message also needs five addresses. Null, empty and blank texts
+    is 4 or more: the pattern (2), hardly any other text (1), the same message under several addresses
+    or hosts (1), no term shared by title or address and the rest (1; the words before the message
+    stand for a missing title, see :func:`unlike`). An unknown message needs the last three and five addresses. Null, empty and blank texts
     are no cases, nor are texts that mention such things in running text. Repeated keys give a row
     each time; null hosts and addresses are a value of their own. Only the named columns are read.
     """
@@ -146,7 +179,7 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> Da
         for batch in batches:
             rows = []
             for doc, h, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = examine(t, known, topical) if t and not t.isspace() else None
+                found = examine(t, known, topical, s) if t and not t.isspace() else None
                 if found:
                     rows.append((doc, h, s, *found))
             if rows:
@@ -161,7 +194,7 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> Da
         F.when(F.col("kind") == "unknown", 0).otherwise(2) + one(F.col("rest") <= REAL_WORDS) + one((F.col("n_slugs") >= 3) | (F.col("n_hosts") >= 2)) + one(F.col("mismatch"))
     )
     low = F.col("kind").isin("placeholder", "filler") | (F.col("rest") <= REAL_WORDS)
-    case = low & (F.col("score") >= 3) & ((F.col("kind") != "unknown") | (F.col("n_slugs") >= 5))
+    case = low & (F.col("score") >= F.when(F.col("kind") == "unknown", 3).otherwise(4)) & ((F.col("kind") != "unknown") | (F.col("n_slugs") >= 5))
     return judged.withColumn("score", score).where(case).select(F.col("doc").alias(key), "kind", "n_slugs", "n_hosts", "score")
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from lodestone.llm.residue import find_residue, placeholders, without_residue
+from lodestone.llm.residue import find_residue, n_words, placeholders, without_residue
 
 REAL = "The supernatant was assayed for residual protein, and the bound amount was calculated by difference."
 
@@ -26,3 +26,16 @@ def test_cases(spark):
     assert {r.k for r in find_residue(df, "k", "t", "kind", "slug").collect()} == {2, 3, 9, 10, 12, None}
     assert {r.k for r in without_residue(df, "k", "t", "kind", "slug").collect()} >= {1, 4, 5, 6, 7, 8, 11, 13}
     assert find_residue(df.limit(0), "k", "t", "kind", "slug").count() == 0
+
+
+def test_a_pattern_alone_is_no_case(spark):
+    rows = [
+        (1, "The supplier answered with 503 Service Unavailable, so the certificate was requested by post.", "a", "s1"),
+        (2, "Retrieval of the records\nThe records were read twice since the archive said access denied at first.", "a", "s2"),
+        (3, "Retrieval of the records\nAccess denied.\nPlease write to our help desk.", "a", "s3"),
+        (4, "Page not found", "a", "archive-page-notes.pdf"), (5, "Page not found", "a", "lipase-beads.pdf"),
+        (6, "固定化脂肪酶在有机溶剂中的活性测定方法如下，先将载体与缓冲液混合，再加入酶液并搅拌两小时，离心后测定上清液中的蛋白质含量，数据库曾提示访问被拒绝，因此改用纸质记录，所有批次均重复三次并取平均值，误差以标准差表示。", "a", "s6"),
+    ]
+    df = spark.createDataFrame(rows, "k bigint, t string, host string, slug string")
+    assert {r.k for r in find_residue(df, "k", "t", "host", "slug").collect()} == {3, 5}
+    assert n_words("酶的固定") == 2 and n_words("of lipase") == 1
