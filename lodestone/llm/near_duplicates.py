@@ -27,8 +27,10 @@ SAMPLES, BITS = 128, 256
 COMMON = 0.001
 #: Bands of one sample each over a set's rarer words; bands x samples over all words of sets with few rarer ones.
 RARE_BANDS, ALL_BANDS = 64, (64, 6)
-#: Rarer words beyond those that edits can remove at the threshold, below which a set also gets the bands over all words.
-SPARE = 3.0
+#: Rarer words beyond those that a partner at the threshold can lack (1 - threshold of the set, all inserted on its side), in
+#: number and as a share of the set's rarer words, below which a set also gets the bands over all words. Any partner then has
+#: the share of both sets' rarer words in common, so that RARE_BANDS samples miss it once in a million.
+SPARE, SPARE_SHARE = 3.0, 0.2
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -220,7 +222,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
                         fresh[1:] = samples[1:] != samples[:-1]
                         at = np.nonzero(fresh)[1]
                         yield emit(samples[fresh], rids[mine][having][at], sketch[having][at])
-                    few = n_rare - (1 - threshold) / (1 + threshold) * sizes < SPARE
+                    few = n_rare - (1 - threshold) * sizes < np.maximum(SPARE, SPARE_SHARE * n_rare)
                     if few.any():
                         few_starts = np.concatenate([[0], np.cumsum(sizes[few])[:-1]]).astype(np.int64)
                         bands, rows = ALL_BANDS

@@ -84,3 +84,16 @@ def test_sketches_estimate_similarity(shared):
 def test_mixing_is_a_permutation():
     x = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64)
     assert all((_unmixed(_mixed(x, n), n) == x).all() for n in range(200, 264))
+
+
+@pytest.mark.parametrize("inserted", [18, 20, 24, 28])
+def test_words_inserted_on_one_side(spark, inserted):
+    """The copies' words are common, so a variant with many rare words more meets them only by the bands over all words."""
+    draw = random.Random(inserted)
+    base = [f"base{i}" for i in range(84)]
+    rows = [("f", f"b{i:02}", " ".join(base[:i] + base[i + 1 :]), False, 0) for i in range(40)]
+    rows += [("f", f"v{i:02}", " ".join(base + [f"new{i}x{j}" for j in range(inserted)]), False, 0) for i in range(12)]
+    rows += [("f", f"o{i:02}", " ".join(f"other{draw.randrange(10**6)}" for _ in range(40)), False, 0) for i in range(60)]
+    want = brute(rows)
+    assert ("f", "b00", "v00") in want or inserted == 28
+    assert {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, KIND)).collect()} == want
