@@ -268,8 +268,6 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor:
             best = search(tree, ids[tree.order], units, ids, k, factor)
             kth = best.scores[:, -1]
             radius = relaxed_radius(kth, factor)
-            if factor > 1 and (kth > -1.5).any():
-                radius = np.where(kth > -1.5, np.minimum(radius, np.quantile(radius[kth > -1.5], 0.9)), radius)
             targets: list[list[int]] = [[] for _ in ids]
             if top:
                 for leaf, rows in top.reached(units, radius):
