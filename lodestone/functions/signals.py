@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
+
 # The domain's signal families, matched without case.
 DOMAIN_PACK = {
     "enzyme_identity": r"\b(lipase|enzyme|BCL|Burkholderia\s+cepacia|Candida|Novozym|Pseudomonas)\b",
@@ -28,6 +30,11 @@ def numeric_mentions(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i){NUMERIC}"), 0))), 1, most)
 
 
+def all_signals(text: Column, pack: dict[str, str] | None = None) -> Column:
+    """The families of ``text``, then its numeric mentions as ``numeric:`` and the mention."""
+    return F.concat(signals(text, pack), F.transform(numeric_mentions(text), lambda m: F.concat(F.lit("numeric:"), m)))
+
+
 def percent_over(text: Column, limit: float = 300) -> Column:
     """Whether some percentage in ``text`` is above ``limit``."""
     return F.exists(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d+(?:\.\d+)?)\s*%"), 1), lambda x: x.cast("double")), lambda v: v > limit)
@@ -36,8 +43,8 @@ def percent_over(text: Column, limit: float = 300) -> Column:
 def repetition_ratio(text: Column) -> Column:
     """Distinct share of the pairs of neighbouring words (four ASCII letters or more); null under 40 words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]{4,}"), 0)
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) >= 40, F.size(F.array_distinct(pairs)) / (F.size(words) - 1))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return X.let(words, lambda w: F.when(F.size(w) >= 40, F.size(F.array_distinct(pairs(w))) / (F.size(w) - 1)))
 
 
 def quality_flags(text: Column) -> Column:

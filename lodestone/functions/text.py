@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: The same characters, to be trimmed.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """``text`` without white space of any kind at its ends; null stays null."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_text(text: Column) -> Column:
     """No-break spaces become spaces, runs of spaces and tabs one space, three or more newlines two; stripped."""
-    spaced = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
+    spaced = F.regexp_replace(F.translate(text, "\u00a0\t", "  "), " {2,}", " ")
     return strip(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))
 
 
@@ -101,6 +110,16 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(strip(p), F.lit("")) for p in parts])
 
 
+def lines(*parts: Column) -> Column:
+    """The non-empty ``parts`` as they are, one a line."""
+    return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def caption(parts: Column) -> Column:
+    """A caption's parts joined by spaces and normalised; null if nothing is left."""
+    return F.nullif(normalize_text(F.array_join(parts, " ")), F.lit(""))
+
+
 def valid_bbox(box: Column) -> Column:
     """``box`` if it is four non-null numbers, else null."""
     return F.when((F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull()), box)
@@ -164,3 +183,23 @@ def object_or_null(text: Column) -> Column:
 def query_text(*parts: Column, fixed: str = "") -> Column:
     """The non-blank ``parts`` and the fixed words, joined by spaces."""
     return F.concat_ws(" ", *[F.nullif(strip(p), F.lit("")) for p in parts], F.lit(fixed)) if fixed else F.concat_ws(" ", *[F.nullif(strip(p), F.lit("")) for p in parts])
+
+
+# The words that every query of its kind asks with.
+RECOMMENDING = "immobilization carrier support method conditions activity recovery yield reusability stability"
+OPTIMISING = "immobilization formulation conditions enzyme loading carrier amount pH temperature time activity recovery yield reusability"
+
+
+def spaced_parts(*parts: Column) -> Column:
+    """The non-empty ``parts`` as they are, joined by spaces; stripped."""
+    return strip(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
+
+
+def recommendation_query(name: Column, objective: Column, context: Column, constraints: Column) -> Column:
+    """The text that evidence for an enzyme is searched with."""
+    return spaced_parts(name, F.lit(RECOMMENDING), objective, context, constraints)
+
+
+def optimisation_query(name: Column, objective: Column, context: Column, constraints: Column, formulation: Column) -> Column:
+    """The text that evidence for a formulation (its canonical JSON) is searched with."""
+    return spaced_parts(name, objective, context, constraints, formulation, F.lit(OPTIMISING))

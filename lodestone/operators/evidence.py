@@ -46,13 +46,18 @@ def strategy(text: Column) -> Column:
     )
 
 
+def _quantity(value: Column, unit: str) -> Column:
+    """A value with its unit; null without a value."""
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(unit).alias("unit")))
+
+
 def conditions(text: Column) -> Column:
     """Loading (last, mg), adsorption time (first, min), pH (last) and temperature (degC) of a normalised text."""
     return F.struct(
-        X.last_match(text, LOADING).alias("enzyme_loading"),
-        X.first_match(text, ADSORPTION_TIME).alias("adsorption_time"),
-        X.last_match(text, PH).alias("ph"),
-        X.select_temperature(X.matched_numbers(text, TEMPERATURE)).alias("immobilization_temperature"),
+        _quantity(X.last_match(text, LOADING), "mg").alias("enzyme_loading"),
+        _quantity(X.first_match(text, ADSORPTION_TIME), "min").alias("adsorption_time"),
+        X.last_match(text, PH).alias("pH"),
+        _quantity(X.select_temperature(X.matched_numbers(text, TEMPERATURE)), "degC").alias("immobilization_temperature"),
     )
 
 
@@ -76,45 +81,63 @@ def distinct_metrics(column: Column) -> Column:
     return F.aggregate(F.slice(column, F.lit(2), F.greatest(F.size(column) - 1, F.lit(0))), F.slice(column, 1, 1), lambda kept, m: F.when(F.exists(kept, lambda k: same(k, m)), kept).otherwise(F.concat(kept, F.array(m))))
 
 
-def _json(fields: Column) -> Column:
-    return F.to_json(fields)
+#: The columns of an evidence record, without its id.
+RECORD = ["record_type", "candidate_source", "document_id", "source_pdf", "source_id", "source_block_indices", "page_start", "page_end", "bbox", "section", "evidence_span", "extracted", "metrics", "confidence", "quality_flags", "review_reasons", "requires_review"]
+
 
+def _judged(found: DataFrame, reference: Column) -> DataFrame:
+    """The records with what follows from their flags, metrics and reference."""
+    reasons = S.review_reasons(F.col("quality_flags"), F.col("metrics"), reference)
+    return found.withColumns({"evidence_span": F.substring("evidence_span", 1, 1500), "review_reasons": reasons, "requires_review": F.size(reasons) > 0, "confidence": S.confidence(F.col("quality_flags"))}).select(*RECORD)
 
-def records_from_chunks(chunks: DataFrame) -> DataFrame:
-    """Up to four records of each chunk (document_id, chunk_id, text, section, page_start, page_end): one a type with findings.
 
-    Result: record_type, document_id, source_id, section, pages, extracted (JSON without nulls), metrics,
-    evidence_span, quality_flags, review_reasons, requires_review, confidence. Null texts give none.
+def records_from_candidates(candidates: DataFrame) -> DataFrame:
+    """Up to four records (:data:`RECORD`) of each text candidate of :func:`chunking.extraction_candidates`: one a type with findings.
+
+    Tables are left out here (see :func:`records_from_tables`); null texts give none. ``extracted`` is
+    JSON without null fields.
     """
-    read = chunks.where(F.col("text").isNotNull()).withColumn("_n", X.normalize_scientific(F.col("text")))
-    read = read.withColumns({"_flags": S.quality_flags(F.col("text")), "_identity": identity(F.col("_n")), "_strategy": strategy(F.col("_n")), "_conditions": conditions(F.col("_n")), "_metrics": metrics(F.col("_n"))})
+    read = candidates.where((F.col("candidate_source") == "rag_chunk") & F.col("text").isNotNull()).withColumn("_n", X.normalize_scientific(F.col("text")))
+    read = read.withColumns({"_identity": identity(F.col("_n")), "_strategy": strategy(F.col("_n")), "_conditions": conditions(F.col("_n")), "_metrics": metrics(F.col("_n"))})
     some = lambda s: F.to_json(s) != "{}"
     none = F.array().cast(read.schema["_metrics"].dataType)
     option = lambda kind, there, fields, found, anchor: F.when(there, F.struct(F.lit(kind).alias("record_type"), fields.alias("extracted"), found.alias("metrics"), X.select_span(F.col("text"), anchor).alias("evidence_span")))
     options = F.array(
-        option("enzyme_identity", F.col("_identity.enzyme_name").isNotNull(), _json("_identity"), none, "lipase"),
-        option("immobilization_strategy", some("_strategy"), _json("_strategy"), none, "ZIF-8"),
-        option("formulation_condition", some("_conditions"), _json("_conditions"), none, "optimal conditions"),
+        option("enzyme_identity", F.col("_identity.enzyme_name").isNotNull(), F.to_json("_identity"), none, "lipase"),
+        option("immobilization_strategy", some("_strategy"), F.to_json("_strategy"), none, "ZIF-8"),
+        option("formulation_condition", some("_conditions"), F.to_json("_conditions"), none, "optimal conditions"),
         option("performance_metric", F.size("_metrics") > 0, F.lit("{}"), F.col("_metrics"), "activity recovery"),
     )
-    each = read.withColumn("_r", F.explode(F.array_compact(options)))
-    reasons = S.review_reasons(F.col("_flags"), F.col("_r.metrics"), F.lit(None).cast("string"))
-    return each.select("_r.record_type", "document_id", F.col("chunk_id").alias("source_id"), "section", "page_start", "page_end", "_r.extracted", "_r.metrics", F.substring("_r.evidence_span", 1, 1500).alias("evidence_span"), F.col("_flags").alias("quality_flags"), reasons.alias("review_reasons"), (F.size(reasons) > 0).alias("requires_review"), S.confidence(F.col("_flags")).alias("confidence"))
+    each = read.drop("metrics", "extracted", "evidence_span", "record_type").withColumn("_r", F.explode(F.array_compact(options))).select("*", "_r.*")
+    return _judged(each.withColumn("quality_flags", F.array_sort(F.array_distinct("quality_flags"))), F.lit(None).cast("string"))
+
 
+def records_from_tables(made: DataFrame) -> DataFrame:
+    """One record (:data:`RECORD`) of each row of :func:`tables.records`, however empty; ``extracted`` keeps its null fields.
 
-def records_from_rows(rows: DataFrame) -> DataFrame:
-    """One record of each table row (``rows`` of :func:`tables.linear_rows`), however empty; keys are kept."""
+    The flags of the table don't count, those of the row do.
+    """
+    rows = H.exploded(made, ["table_id", "document_id", "source_pdf", "source_block_index", "page_idx", "bbox", "section"])
     columns, cells = F.col("columns"), F.col("cells")
     value = lambda name: H.cell(columns, cells, name)
+    extracted = F.to_json(
+        F.struct(
+            value("Enzyme").alias("enzyme_name"), value("Substrate").alias("substrate"), value("Operating Conditions").alias("operating_conditions"), value("System").alias("reaction_system"), value("Acyl Acceptor").alias("acyl_acceptor"), value("References").alias("reference"), F.col("table_id").alias("table_id"),
+            F.col("row_index").alias("row_index"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
     reuse = value("Reusability and Last Yield (%)")
+    part = lambda group: F.nullif(F.regexp_extract(reuse, ROW_REUSE, group), F.lit(""))
     found = F.array(
         F.when(X.first_number(value("Yield (%)")).isNotNull(), _metric("biodiesel_yield", X.first_number(value("Yield (%)")), "%", value("Yield (%)"))),
-        F.when(reuse.rlike(ROW_REUSE), F.struct(F.lit("reusability_last_yield").alias("name"), F.nullif(F.regexp_extract(reuse, ROW_REUSE, 2), F.lit("")).cast("double").alias("value"), F.lit("%").alias("unit"), F.nullif(F.regexp_extract(reuse, ROW_REUSE, 1), F.lit("")).cast("int").alias("cycle"), reuse.alias("raw"))),
+        F.when(reuse.rlike(ROW_REUSE), F.struct(F.lit("reusability_last_yield").alias("name"), part(2).cast("double").alias("value"), F.lit("%").alias("unit"), part(1).cast("int").alias("cycle"), reuse.alias("raw"))),
     )
-    flags = H.row_flags(columns, cells)
-    named = rows.withColumns({"enzyme_name": value("Enzyme"), "substrate": value("Substrate"), "acyl_acceptor": value("Acyl Acceptor"), "reference": value("References"), "metrics": F.array_compact(found), "evidence_span": H.row_text(columns, cells), "quality_flags": flags})
-    reasons = S.review_reasons(F.col("quality_flags"), F.col("metrics"), F.col("reference"))
-    return named.withColumns({"review_reasons": reasons, "requires_review": F.size(reasons) > 0, "confidence": S.confidence(F.col("quality_flags"))})
+    each = rows.select(
+        F.lit("table_comparison_row").alias("record_type"), F.lit("table_record").alias("candidate_source"), "document_id", "source_pdf", F.col("table_id").alias("source_id"), F.array("source_block_index").alias("source_block_indices"), F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), "bbox", "section",
+        X.normalize_space(H.row_text(columns, cells)).alias("evidence_span"), extracted.alias("extracted"), F.array_compact(found).alias("metrics"), H.row_flags(columns, cells).alias("quality_flags"), value("References").alias("_reference"),
+    )
+    return _judged(each, F.col("_reference"))
 
 
 def canonical(text: str | None) -> str | None:
@@ -144,9 +167,16 @@ def evidence_id(record_type: str, source_id: str, extracted: dict, found: list,
 def with_evidence_ids(records: DataFrame) -> DataFrame:
     """``records`` with evidence_id by :func:`evidence_id` (metrics without their null fields)."""
 
+    def listed(text: str | None) -> list:
+        found = json.loads(text) if text else []
+        for m in found:
+            if m and m.get("name") == "reuse_cycles" and m.get("value") is not None:  # counts are whole numbers
+                m["value"] = int(m["value"])
+        return found
+
     @F.pandas_udf("string")
     def made(kind: pd.Series, source: pd.Series, extracted: pd.Series, found: pd.Series, span: pd.Series) -> pd.Series:
-        return pd.Series([evidence_id(k, s, json.loads(e) if e else {}, json.loads(m) if m else [], p) for k, s, e, m, p in zip(kind, source, extracted, found, span)])
+        return pd.Series([evidence_id(k, s, json.loads(e) if e else {}, listed(m), p) for k, s, e, m, p in zip(kind, source, extracted, found, span)])
 
     return records.withColumn("evidence_id", made("record_type", "source_id", "extracted", F.to_json("metrics"), "evidence_span"))
 

@@ -2,7 +2,8 @@
 
 A window over a whole group puts a hot group into one task. Here each group is cut into buckets of
 its order; the buckets are summed up first, the sums are carried forward, and the rows of a bucket
-continue from what comes in.
+continue from what comes in. All values wanted are carried in one pass, which reads its input twice
+(once for the sums, once for the rows), however many they are.
 """
 
 from __future__ import annotations
@@ -13,32 +14,44 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def _running(df: DataFrame, group: list[str], order: str, out: str, whole: Column, before, inside, bucket: int) -> DataFrame:
-    rows = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
-    carried = rows.groupBy(*group, "_bucket").agg(whole.alias("_whole"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(*group, "_bucket", before(earlier).alias("_in"))
-    own = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    same = [rows[g].eqNullSafe(carried[g]) for g in group]
-    joined = rows.join(carried, [*same, rows["_bucket"] == carried["_bucket"]], "left").select(rows["*"], carried["_in"])
-    return joined.withColumn(out, inside(own)).drop("_bucket", "_in")
+def bucket_of(order: str, bucket: int = BUCKET) -> Column:
+    return F.floor(F.col(order) / bucket).alias("_bucket")
+
+
+def with_carried(rows: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` beside the columns of ``carried`` (a row a group and ``_bucket``); null groups are groups."""
+    names = [c for c in carried.columns if c not in (*group, "_bucket")]
+    other = carried.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_gb"), *names)
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return rows.join(other, [*same, F.col("_bucket") == F.col("_gb")], "left").drop(*[f"_g{i}" for i in range(len(group))], "_gb")
+
+
+def running(df: DataFrame, group: list[str], order: str, values: dict[str, tuple[str, Column]], bucket: int = BUCKET) -> DataFrame:
+    """``df`` with the running ``values``: name -> (kind, column); ``order`` is an integer, unique in the group.
+
+    Kinds: ``last``, the last non-null value up to and with the row; ``sum``, the sum up to and with
+    the row; ``previous``, the value of the row before as a struct with the one field ``v`` (null for
+    the first row).
+    """
+    rows = df.select("*", bucket_of(order, bucket), *[(F.struct(v.alias("v")) if kind == "previous" else v).alias(f"_v{i}") for i, (kind, v) in enumerate(values.values())])
+    own = Window.partitionBy(*group, "_bucket").orderBy(order)
+    upto, earlier = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums, carried, results = [], [], {}
+    for i, (name, (kind, _)) in enumerate(values.items()):
+        value, came = F.col(f"_v{i}"), F.col(f"_in{i}")
+        if kind == "sum":
+            sums.append(F.sum(value).alias(f"_w{i}"))
+            carried.append(F.sum(f"_w{i}").over(earlier).alias(f"_in{i}"))
+            results[name] = F.coalesce(F.sum(value).over(upto), F.lit(0)) + F.coalesce(came, F.lit(0))
+        else:
+            sums.append(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(f"_w{i}"))
+            carried.append(F.last(f"_w{i}", True).over(earlier).alias(f"_in{i}"))
+            results[name] = F.coalesce(F.last(value, True).over(upto) if kind == "last" else F.lag(value).over(own), came)
+    whole = rows.groupBy(*group, "_bucket").agg(*sums).select(*group, "_bucket", *carried)
+    made = with_carried(rows, whole, group).withColumns(results)
+    return made.drop("_bucket", *[f"_{x}{i}" for i in range(len(values)) for x in ("v", "in")])
 
 
 def carry_last(df: DataFrame, group: list[str], order: str, value: Column, out: str, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with ``out``: the last non-null ``value`` of the group up to and with the row; ``order`` is an integer, unique in the group."""
-    rows = df.withColumn("_value", value)
-    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order)))
-    return _running(rows, group, order, out, last, lambda w: F.last("_whole", True).over(w), lambda w: F.coalesce(F.last("_value", True).over(w), F.col("_in")), bucket).drop("_value")
-
-
-def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` of the group up to and with the row."""
-    rows = df.withColumn("_value", value)
-    return _running(rows, group, order, out, F.sum("_value"), lambda w: F.sum("_whole").over(w), lambda w: F.sum("_value").over(w) + F.coalesce("_in", F.lit(0)), bucket).drop("_value")
-
-
-def previous(df: DataFrame, group: list[str], order: str, value: Column, out: str, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with ``out``: ``value`` (wrapped in a struct) of the row before, null for the group's first."""
-    rows = df.withColumn("_value", F.struct(value.alias("v")))
-    own = lambda w: F.coalesce(F.lag("_value").over(Window.partitionBy(*group, "_bucket").orderBy(order)), F.col("_in"))
-    return _running(rows, group, order, out, F.max_by("_value", F.col(order)), lambda w: F.last("_whole", True).over(w), own, bucket).drop("_value")
+    """``df`` with ``out``: the last non-null ``value`` of the group up to and with the row."""
+    return running(df, group, order, {out: ("last", value)}, bucket)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions import text as X
 
@@ -35,10 +42,19 @@ def search(points: DataFrame, vector: list[float], limit: int = 8, point_type: s
     return scored.orderBy(F.col("score").desc(), "payload_key").limit(limit)
 
 
-def enrich(hits: DataFrame, sources: DataFrame, id_column: str, text_column: str, out: str) -> DataFrame:
-    """``hits`` with ``out``: the text of their parent source, else of their own; null without either. Source ids are unique."""
-    texts = sources.select(F.col(id_column).alias("_id"), F.col(text_column).alias(out))
-    return hits.join(texts, F.coalesce("parent_source_id", "source_id") == F.col("_id"), "left").drop("_id")
+def enrich(hits: DataFrame, chunks: DataFrame, tables: DataFrame, out: str = "source_chunk_text") -> DataFrame:
+    """``hits`` (document_id, source_id, parent_source_id) with ``out``: the text of their parent source, else of their own.
+
+    Sources are found by document and id: ``chunks`` (document_id, chunk_id, text) and ``tables``
+    (document_id, table_id, text), each id once in its document; a table goes before a chunk of the
+    same id. A text that a hit brings along is kept; without any source it stays null.
+    """
+    source = lambda df, key, rank: df.select(F.col("document_id").alias("_d"), F.col(key).alias("_id"), F.struct(F.lit(rank).alias("rank"), F.col("text").alias("text")).alias("_t"))
+    texts = source(chunks, "chunk_id", 0).unionByName(source(tables, "table_id", 1)).where("_id IS NOT NULL").groupBy("_d", "_id").agg(F.max("_t").alias("_t"))
+    wanted = hits.withColumn("_key", F.coalesce(F.nullif("parent_source_id", F.lit("")), "source_id"))
+    found = wanted.join(texts, (F.col("document_id") == F.col("_d")) & (F.col("_key") == F.col("_id")), "left")
+    kept = F.coalesce(F.nullif(F.col(out), F.lit("")), F.col("_t.text")) if out in hits.columns else F.col("_t.text")
+    return found.withColumn(out, kept).drop("_d", "_id", "_t", "_key")
 
 
 def resolve(refs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -60,30 +76,74 @@ def top_per_group(df: DataFrame, group: list[str], order: list, limit: int) -> D
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def context(hits: DataFrame, group: str, width: int = 900) -> DataFrame:
-    """(group, context): the hits of a group as numbered blocks in rank order, each text cut at ``width``."""
-    block = F.format_string("[%d] %s (score %.4f)\n%s", F.col("hit_rank"), F.coalesce("citation", F.lit("<unknown>")), F.col("score"), F.substring(F.coalesce("text", F.lit("")), 1, width))
-    each = hits.select(group, "hit_rank", block.alias("block"))
-    return each.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hit_rank", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
+def _shown(column: Column) -> Column:
+    """JSON as a generator is shown it: with single quotes, True, False and None; ``{}`` for null."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: repr(json.loads(x)) if x else "{}")
+
+    return F.when(F.coalesce(column, F.lit("{}")).isin("{}", "[]"), F.coalesce(column, F.lit("{}"))).otherwise(shown(column))
+
 
+def context_head(place: Column) -> Column:
+    """The first two lines of a hit in the context: place, score, types; source, citation, usability, flags."""
+    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "True").otherwise("False")
+    flags = F.array_join(F.transform(F.coalesce("quality_flags", F.array().cast("array<string>")), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    first = F.format_string("[%d] score=%.4f type=%s record_type=%s", place, F.col("score"), F.coalesce("point_type", F.lit("")), dash("record_type"))
+    return F.concat(first, F.lit("\n"), F.format_string("source_id=%s citation=%s usable=%s flags=[%s]", F.coalesce("source_id", F.lit("")), dash("citation"), yes(F.col("usable_for_ranking")), flags))
 
-def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, size: int, k: int = 5, chunk: int = 50_000) -> DataFrame:
-    """(query, ``key``, score): the ``k`` most similar points of each query, exact; a query doesn't find its own key.
 
-    Both sides have ``key`` and ``vector``; vectors that aren't ``size`` numbers or have no length are
-    left out. The points are cut into chunks of about ``chunk`` by a hash of their key; every query is
-    sent to every chunk, whose task keeps its points and streams the queries in blocks, so only k
-    candidates a query and chunk leave it. Ties go to the lower key.
+def context(hits: DataFrame, group: str, width: int = 900) -> DataFrame:
+    """(group, context): the hits of a group (a bounded top-k) as numbered blocks in rank order, five lines each, the text cut at ``width``.
+
+    ``hits``: group, hit_rank, score, point_type, record_type, source_id, citation, usable_for_ranking,
+    quality_flags, extracted (JSON), metrics, text. Nulls show as a dash, an empty list or nothing.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
+    placed = hits.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy("hit_rank")))
+    metrics = _shown(F.to_json(F.coalesce("metrics", F.array().cast(hits.schema["metrics"].dataType))))
+    block = F.concat_ws("\n", context_head(F.col("_at")), F.concat(F.lit("extracted="), _shown(F.col("extracted"))), F.concat(F.lit("metrics="), metrics), F.concat(F.lit("text="), F.substring(F.coalesce("text", F.lit("")), 1, width)))
+    each = placed.select(group, "_at", block.alias("block"))
+    return each.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
+
 
-    usable = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == size) & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+def retrieve(points: DataFrame, queries: DataFrame, key: str, text: str, embedder, limit: int = 8, point_type: str | None = None, usable_only: bool = True) -> DataFrame:
+    """(``key``, rank, score, and the payload of the point): the ``limit`` most similar points of each query text, exact.
+
+    ``points``: id and vector of the embedder's size, with their payload. The filters reach the scan;
+    queries whose text gives no features find nothing.
+    """
+    if limit < 1 or point_type not in (None, *POINT_TYPES):
+        raise ValueError("limit or point type")
+    kept = points.where(F.col("point_type") == point_type) if point_type else points
+    kept = kept.where("usable_for_ranking") if usable_only else kept
+    asked = queries.select(F.col(key), embedder.embed(F.col(text)).alias("vector"))
+    found = search_many(kept.select("id", "vector"), asked, "id", "vector", embedder.dimensions, limit, query_key=key)
+    ranked = top_per_group(found.select(F.col("query").alias(key), "id", "score"), [key], [F.col("score").desc(), "id"], limit)
+    return ranked.join(kept.drop("vector"), "id")
+
+
+def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, size: int, k: int = 5, chunk: int = 50_000, query_key: str | None = None) -> DataFrame:
+    """(query, ``key``, score): the ``k`` most similar points of each query, exact.
+
+    Points have ``key`` and ``vector``; queries the same, and then don't find their own key, or
+    ``query_key`` and ``vector``. Vectors that aren't ``size`` numbers or have no length are left out.
+    The points are cut into chunks of about ``chunk`` by a hash of their key; every query is sent to
+    every chunk, whose task keeps its points and streams the queries in blocks, so only k candidates a
+    query and chunk leave it. Ties go to the lower key.
+    """
+    own = query_key is None
+    name = query_key or key
+    kinds = {"point": points.schema[key].dataType, "query": queries.schema[name].dataType}
+    usable = lambda df, column: df.select(F.col(column).alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == size) & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     parts = max(1, -(-points.count() // chunk))
-    held = usable(points).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
-    asked = usable(queries).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "v")
-    out = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+    nothing = {side: F.lit(None).cast(kind) for side, kind in kinds.items()}
+    held = usable(points, key).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), F.col("id").alias("point"), nothing["query"].alias("query"), "v")
+    asked = usable(queries, name).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), nothing["point"].alias("point"), F.col("id").alias("query"), "v")
+    out = T.StructType([T.StructField("query", kinds["query"]), T.StructField("id", kinds["point"]), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+    plain = lambda column: column.to_numpy(zero_copy_only=False)
 
     def unit(column):
         matrix = column.flatten().to_numpy().reshape(-1, size)
@@ -106,18 +166,19 @@ def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, si
                 if units is None:
                     if not stock:
                         continue
-                    ids = np.concatenate([x.column(2).to_numpy() for x in stock])
+                    ids = np.concatenate([plain(x.column(2)) for x in stock])
                     order = np.argsort(ids, kind="stable")
-                    ids, units, stock = ids[order], np.concatenate([unit(x.column(3)) for x in stock])[order], []
-                who, vectors = rows.column(2).to_numpy(), unit(rows.column(3))
+                    ids, units, stock = ids[order], np.concatenate([unit(x.column(4)) for x in stock])[order], []
+                who, vectors = plain(rows.column(3)), unit(rows.column(4))
                 for c in range(0, len(who), 256):
-                    own = who[c : c + 256]
+                    some = who[c : c + 256]
                     scores = vectors[c : c + 256] @ units.T
-                    scores[own[:, None] == ids[None, :]] = -3.0
+                    if own:
+                        scores[some[:, None] == ids[None, :]] = -3.0
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     value = np.take_along_axis(scores, best, 1)
                     good = value > -2
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(axis=1))), pa.array(ids[best][good]), pa.array(value[good])], names=out.fieldNames())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.repeat(some, good.sum(axis=1)), ids[best][good], value[good]), arrow)], schema=arrow)
 
     found = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(work, out)
     return top_per_group(found, ["query"], [F.col("score").desc(), "id"], k).select("query", F.col("id").alias(key), "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +43,9 @@ def evidence_citations(spark, folder):
 
 def evidence_first(spark, folder):
     """The first of the records that agree in type, source, findings and metrics."""
-    rows = _evidence(spark, folder, "record_type", "source_id", "extracted", "metrics", "evidence_span")
+    rows = table(spark, folder, "evidence_records", "evidence_id", "record_type", "source_id", "extracted", "metrics", "loaded_at")
     keyed = rows.withColumn("canon", evidence.canonical_json(F.col("extracted"))).withColumn("m", F.to_json("metrics"))
-    return evidence.first_of_equal(keyed, ["record_type", "source_id", "canon", "m"], ["evidence_id"]).select("evidence_id")
+    return evidence.first_of_equal(keyed, ["record_type", "source_id", "canon", "m"], ["loaded_at", "evidence_id"]).select("evidence_id")
 
 
 def evidence_ids(spark, folder):
@@ -106,24 +106,42 @@ def points_upserted(spark, folder):
 
 
 def _vector(spark: SparkSession, folder: str) -> list[float]:
-    return table(spark, folder, "points", "vec_no", "vector").where(F.col("vec_no") == ASKED).head()["vector"]
+    row = table(spark, folder, "points", "vec_no", "vector").where(F.col("vec_no") == ASKED).head()
+    return list(row["vector"] or []) if row else []
+
+
+def _asked(spark, folder) -> DataFrame:
+    """The query set: every fiftieth point."""
+    return table(spark, folder, "points", "vec_no", "vector").where("vec_no % 50 = 0")
 
 
 def search_top(spark, folder):
-    found = search.search(table(spark, folder, "points"), _vector(spark, folder), 8, "evidence_record")
-    return found.select("vec_no", "payload_key", F.round("score", 6).alias("score"))
+    """The eight most similar usable evidence points of every fiftieth point."""
+    rows = table(spark, folder, "points", "vec_no", "vector", "point_type", "usable_for_ranking").where("point_type = 'evidence_record' AND usable_for_ranking")
+    return search.search_many(rows, _asked(spark, folder), "vec_no", "vector", 64, 8).select("query", "vec_no", F.round("score", 6).alias("score"))
 
 
 def search_everything(spark, folder):
-    found = search.search(table(spark, folder, "points"), _vector(spark, folder), 20, usable_only=False)
-    return found.select("vec_no", "point_type", F.round("score", 6).alias("score"))
+    """The twenty most similar points of every fiftieth point, whether usable for ranking or not."""
+    found = search.search_many(table(spark, folder, "points", "vec_no", "vector"), _asked(spark, folder), "vec_no", "vector", 64, 20)
+    return found.select("query", "vec_no", F.round("score", 6).alias("score"))
 
 
 def point_scores(spark, folder):
-    """The similarity of every usable vector to the one asked with."""
+    """The similarity of every vector to the one asked with; none if that has no numbers."""
     rows = table(spark, folder, "points", "vec_no", "vector").where("size(vector) = 64")
-    query = F.array(*[F.lit(float(x)) for x in _vector(spark, folder)])
-    return rows.select("vec_no", F.round(search.cosine(F.col("vector"), query), 6).alias("score"))
+    vector = _vector(spark, folder)
+    if not vector:
+        return rows.select("vec_no", F.lit(None).cast("double").alias("score")).limit(0)
+    return rows.select("vec_no", F.round(search.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in vector])), 6).alias("score"))
+
+
+def search_one(spark, folder):
+    """The eight most similar usable evidence points of the one asked with, by a plain sort."""
+    vector = _vector(spark, folder)
+    points = table(spark, folder, "points", "vec_no", "payload_key", "vector", "point_type", "usable_for_ranking")
+    found = search.search(points, vector, 8, "evidence_record") if vector else points.limit(0).withColumn("score", F.lit(0.0))
+    return found.select("vec_no", "payload_key", F.round("score", 6).alias("score"))
 
 
 def search_batch(spark, folder):
@@ -140,10 +158,12 @@ def requests_named(spark, folder):
 
 
 def hits_enriched(spark, folder):
-    """Hits with the citation of their parent point, else of their own."""
-    rows = _hits(spark, folder, "source_id", "parent_source_id")
-    points = table(spark, folder, "points", "source_id", "citation").dropDuplicates(["source_id"])
-    return search.enrich(rows, points, "source_id", "citation", "parent_citation").select("hit_id", "parent_citation")
+    """Hits with the text of their source, found by document and id; texts given are kept. Spans stand for chunks, citations of points for tables."""
+    rows = _hits(spark, folder, "document_id", "source_id", "parent_source_id", "source_chunk_text")
+    chunks = _evidence(spark, folder, "document_id", "evidence_span").select("document_id", F.col("evidence_id").alias("chunk_id"), F.col("evidence_span").alias("text"))
+    tables = table(spark, folder, "points", "document_id", "source_id", "point_type", "citation").where("point_type = 'rag_chunk'").dropDuplicates(["document_id", "source_id"])
+    made = search.enrich(rows, chunks, tables.select("document_id", F.col("source_id").alias("table_id"), F.col("citation").alias("text")))
+    return made.select("hit_id", F.sha2("source_chunk_text", 256).alias("sha256"))
 
 
 def hit_parents(spark, folder):
@@ -153,8 +173,18 @@ def hit_parents(spark, folder):
     return rows.join(records, rows["source_id"] == records["e"], "left").select("hit_id", "parent", "record_type")
 
 
+_SHOWN = ("query_id", "hit_rank", "score", "point_type", "record_type", "source_id", "citation", "usable_for_ranking", "quality_flags")
+
+
 def hit_contexts(spark, folder):
-    return search.context(_hits(spark, folder, "query_id", "hit_rank", "citation", "score", "text"), "query_id").select("query_id", F.sha2("context", 256).alias("sha256"), F.length("context").alias("n_chars"))
+    """What a generator is shown of each query's hits (no SQL: it shows objects in another notation than JSON)."""
+    return search.context(_hits(spark, folder, *_SHOWN, "extracted", "metrics", "text"), "query_id").select("query_id", F.sha2("context", 256).alias("sha256"), F.length("context").alias("n_chars"))
+
+
+def hit_context_heads(spark, folder):
+    """The first two lines of every hit in its context."""
+    rows = _hits(spark, folder, *_SHOWN).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("hit_rank")))
+    return rows.select("hit_id", search.context_head(F.col("place")).alias("head"))
 
 
 def hits_ranked(spark, folder):
@@ -250,8 +280,8 @@ def names_shortest(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, search_batch, requests_named, point_scores,
-        hits_enriched, hit_parents, hit_contexts, hits_ranked, references_resolved, settings_compared, answer_candidates, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
+        review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, search_one, search_batch, requests_named, point_scores,
+        hits_enriched, hit_parents, hit_contexts, hit_context_heads, hits_ranked, references_resolved, settings_compared, answer_candidates, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
     )
 }
 
@@ -263,6 +293,8 @@ _COUNT = lambda key: f"SELECT '{key}' AS counted, CASE WHEN {key} IS NULL OR CAS
 _Q = f"q AS (SELECT vector AS v FROM points WHERE vec_no = {ASKED})"
 _DOT = lambda a, b: f"list_sum(list_transform(generate_series(1, 64), lambda i: {a}[i] * {b}[i]))"
 _SCORE = f"CASE WHEN {_DOT('vector', 'vector')} > 0 THEN {_DOT('vector', 'v')} / (sqrt({_DOT('vector', 'vector')}) * sqrt({_DOT('v', 'v')})) ELSE 0 END"
+_SEARCH = """WITH u AS (SELECT * FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0), s AS (SELECT q.vec_no AS query, p.vec_no AS vec_no, list_cosine_similarity(q.vector, p.vector) AS score FROM u q JOIN (SELECT * FROM u WHERE {where}) p ON q.vec_no % 50 = 0 AND p.vec_no <> q.vec_no),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_no) AS k FROM s) SELECT query, vec_no, round(score, 6) AS score FROM r WHERE k <= {k}"""
 _PARTS = "d AS (SELECT doc_id, text, CAST(ceil(length(text) / 400) AS BIGINT) AS n FROM documents), s AS (SELECT doc_id, text, n, unnest(generate_series(0, n - 1)) AS seq FROM d WHERE n > 0)"
 _REF = "coalesce(json_extract_string(extracted, '$.reference'), '')"
 
@@ -282,19 +314,21 @@ ORACLES = {
     "point_type_counts": "SELECT point_type AS key, count(*) AS n FROM points GROUP BY 1",
     "points_upserted": """WITH n AS (SELECT * FROM points WHERE indexed_at >= TIMESTAMP '2025-07-01'), o AS (SELECT * FROM points WHERE indexed_at < TIMESTAMP '2025-07-01')
         SELECT source_id, vec_no, citation FROM o WHERE source_id NOT IN (SELECT source_id FROM n) UNION ALL SELECT source_id, max(vec_no) AS vec_no, arg_max(citation, vec_no) AS citation FROM n GROUP BY source_id""",
-    "search_top": f"WITH {_Q}, s AS (SELECT vec_no, payload_key, {_SCORE} AS score FROM points, q WHERE len(vector) = 64 AND point_type = 'evidence_record' AND usable_for_ranking ORDER BY score DESC, payload_key LIMIT 8) SELECT vec_no, payload_key, round(score, 6) AS score FROM s",
-    "search_everything": f"WITH {_Q}, s AS (SELECT vec_no, point_type, payload_key, {_SCORE} AS score FROM points, q WHERE len(vector) = 64 ORDER BY score DESC, payload_key LIMIT 20) SELECT vec_no, point_type, round(score, 6) AS score FROM s",
+    "search_top": _SEARCH.format(where="point_type = 'evidence_record' AND usable_for_ranking", k=8),
+    "search_one": f"WITH {_Q}, s AS (SELECT vec_no, payload_key, {_SCORE} AS score FROM points, q WHERE len(vector) = 64 AND point_type = 'evidence_record' AND usable_for_ranking ORDER BY score DESC, payload_key LIMIT 8) SELECT vec_no, payload_key, round(score, 6) AS score FROM s",
+    "search_everything": _SEARCH.format(where="TRUE", k=20),
     "point_scores": f"WITH {_Q} SELECT vec_no, round({_SCORE}, 6) AS score FROM points, q WHERE len(vector) = 64",
-    "search_batch": f"""WITH u AS (SELECT vec_no, vector FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0), s AS (SELECT q.vec_no AS query, p.vec_no AS vec_no, list_cosine_similarity(q.vector, p.vector) AS score FROM u q JOIN u p ON q.vec_no % 50 = 0 AND p.vec_no <> q.vec_no),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_no) AS k FROM s) SELECT query, vec_no, round(score, 6) AS score FROM r WHERE k <= 5""",
+    "search_batch": _SEARCH.format(where="TRUE", k=5),
     "requests_named": f"""WITH r AS (SELECT DISTINCT ON (request_id) *, concat_ws(', ', enzyme_name, enzyme_source) AS t FROM recommendation_inputs ORDER BY request_id, submitted_at)
         SELECT request_id, CASE WHEN contains(lower(t), 'burkholderia cepacia lipase') OR contains(lower(t), 'bcl') THEN 'Burkholderia cepacia lipase' WHEN contains(lower(t), 'lipase') THEN 'lipase' ELSE trim(regexp_extract(t, '^[^，,。.\\n]*')) END AS enzyme,
                concat_ws(' ', nullif(trim(enzyme_name), ''), nullif(trim(objective.primary), ''), 'immobilization') AS query_text, coalesce(array_to_string(list_filter(list_transform(objective.secondary, lambda x: trim(x)), lambda x: x <> ''), ','), '') AS secondary FROM r""",
-    "hits_enriched": f"WITH {_H}, p AS (SELECT source_id AS s, any_value(citation) AS parent_citation FROM points GROUP BY 1) SELECT hit_id, parent_citation FROM h LEFT JOIN p ON coalesce(parent_source_id, source_id) = s",
+    "hits_enriched": f"""WITH {_H}, {_E}, c AS (SELECT document_id AS d, evidence_id AS k, any_value(evidence_span) AS x FROM e GROUP BY 1, 2), p AS (SELECT document_id AS d, source_id AS k, any_value(citation) AS x FROM points WHERE point_type = 'rag_chunk' GROUP BY 1, 2)
+        SELECT hit_id, sha256(coalesce(nullif(source_chunk_text, ''), p.x, c.x)) AS sha256 FROM h LEFT JOIN p ON p.d = h.document_id AND p.k = coalesce(nullif(parent_source_id, ''), source_id) LEFT JOIN c ON c.d = h.document_id AND c.k = coalesce(nullif(parent_source_id, ''), source_id)""",
     "hit_parents": f"WITH {_H}, {_E} SELECT h.hit_id, e.source_id AS parent, e.record_type FROM h LEFT JOIN e ON h.source_id = e.evidence_id WHERE h.point_type = 'evidence_record'",
     "hits_ranked": f"WITH {_H}, r AS (SELECT query_id, hit_id, source_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS INTEGER) AS rank FROM h WHERE usable_for_ranking) SELECT query_id, rank, hit_id, source_id FROM r WHERE rank <= 3",
-    "hit_contexts": f"""WITH {_H}, b AS (SELECT query_id, hit_rank, format('[{{}}] {{}} ({{}})', hit_rank, coalesce(citation, '<unknown>'), 'score ' || format('{{:.4f}}', CAST(round(CAST(score AS DECIMAL(18, 8)), 4) AS DOUBLE))) || chr(10) || substr(coalesce(text, ''), 1, 900) AS block FROM h),
-        c AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY hit_rank, block) AS context FROM b GROUP BY 1) SELECT query_id, sha256(context) AS sha256, CAST(length(context) AS INTEGER) AS n_chars FROM c""",
+    "hit_context_heads": f"""WITH {_H}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank) AS place FROM h)
+        SELECT hit_id, format('[{{}}] score={{}} type={{}} record_type={{}}', place, format('{{:.4f}}', CAST(round(CAST(score AS DECIMAL(18, 8)), 4) AS DOUBLE)), coalesce(point_type, ''), coalesce(nullif(record_type, ''), '-')) || chr(10) || format('source_id={{}} citation={{}} usable={{}} flags=[{{}}]', coalesce(source_id, ''),
+               coalesce(nullif(citation, ''), '-'), CASE WHEN usable_for_ranking THEN 'True' ELSE 'False' END, coalesce(array_to_string(list_transform(quality_flags, lambda x: '''' || x || ''''), ', '), '')) AS head FROM b""",
     "references_resolved": f"""WITH {_H}, f AS (SELECT query_id AS group_id, hit_rank AS rank, source_id, citation FROM h),
         r AS (SELECT group_id, rank * 10 AS ord, source_id AS ref FROM f UNION ALL SELECT group_id, rank * 10 + 1, citation FROM f UNION ALL SELECT group_id, rank * 10 + 2, CAST(rank AS VARCHAR) FROM f UNION ALL SELECT group_id, rank * 10 + 5, '99999' FROM f),
         a AS (SELECT group_id, source_id AS ref, 0 AS p, max(rank) AS rank FROM f GROUP BY 1, 2 UNION ALL SELECT group_id, citation, 1, max(rank) FROM f WHERE citation IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT group_id, CAST(rank AS VARCHAR), 2, rank FROM f),

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import uuid
 
 import pytest
@@ -43,35 +44,104 @@ def test_mentions_and_flags(spark):
 
 def test_conditions_and_metrics(spark):
     text = F.lit("loading of 20 mg, then loading 25 mg; pH 7, pH was 8.5; at 5 °C, 60 °C and 200 °C; adsorption time 30 min, adsorption time 40 min. activity recovery up to 91.2 %, activity recovery of 91.2 %; reused for eight cycles")
-    assert one(spark, evidence.conditions(text)).asDict() == {"enzyme_loading": 25.0, "adsorption_time": 30.0, "ph": 8.5, "immobilization_temperature": 60.0}
+    assert one(spark, evidence.conditions(text)).asDict(True) == {"enzyme_loading": {"value": 25.0, "unit": "mg"}, "adsorption_time": {"value": 30.0, "unit": "min"}, "pH": 8.5, "immobilization_temperature": {"value": 60.0, "unit": "degC"}}
     assert [(m["name"], m["value"]) for m in one(spark, evidence.metrics(text))] == [("activity_recovery", 91.2), ("reuse_cycles", 8.0)]
     assert one(spark, evidence.identity(F.lit("the BCL powder"))).enzyme_abbreviation == "BCL"
 
 
 def test_html_tables(spark):
-    html = "<table><tr><th>A&amp;B</th><th>C</th></tr><tr><td></td><td> </td></tr><tr><td>1<br>2</td><td>x</td></tr></table>"
-    assert tables.html_rows(html) == [["A&B", "C"], ["1 2", "x"]] and tables.html_rows(None) == []
-    df = spark.createDataFrame([(html,), (None,)], "h string").select(tables.parse_html(F.col("h")).alias("r"))
-    assert [r.r for r in df.collect()] == [[["A&B", "C"], ["1 2", "x"]], []]
+    html = "<table><tr><th>A&amp;B</th><th>C</th></tr><tr><td></td><td> </td></tr><tr><td>1<br>2</td><td>x &lt;b&gt; &#945;&#x3b2; &bogus; & y</td></tr></table>"
+    nested = "<tr><td>out<table><tr><td>in</td></tr></table></td></tr><TR><TD class='a'>open<td>b</TD></TR><!-- <tr><td>no</td></tr> --><tr><td>lost"
+    df = spark.createDataFrame([(html,), (None,), (nested,), ("",)], "h string").select(tables.parse_html(F.col("h")).alias("r"))
+    assert [r.r for r in df.collect()] == [[["A&B", "C"], ["1 2", "x <b> αβ &bogus; & y"]], [], [["in"], ["b"]], []]
+    grid = spark.range(1).select(tables.parse_html(tables.to_html(F.array(F.lit("a<b"), F.lit("c")), F.array(F.array(F.lit("1 & 2"), F.lit("")), F.array(F.lit(""), F.lit(""))))).alias("r"))
+    assert grid.head().r == [["a<b", "c"], ["1 & 2", ""]]
 
 
 def test_running_values(spark):
     rows = [(g, i, None if i % 3 else f"{g}{i}", i) for g in ("a", "b", None) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, i int, v string, n int").repartition(5)
-    got = {(r.g, r.i): r for r in prefix.previous(prefix.running_sum(prefix.carry_last(df, ["g"], "i", F.col("v"), "last", 7), ["g"], "i", F.col("n"), "total", 7), ["g"], "i", F.col("n"), "before", 7).collect()}
+    got = {(r.g, r.i): r for r in prefix.running(df, ["g"], "i", {"last": ("last", F.col("v")), "total": ("sum", F.col("n")), "before": ("previous", F.col("n"))}, 7).collect()}
     assert len(got) == 150
     for (g, i), r in got.items():
-        assert r.last == f"{g}{i - i % 3}".replace("None", "None") if g else True
-        assert r.total == i * (i + 1) // 2 and (r.before.v if r.before else None) == (i - 1 if i else None)
+        assert r.last == f"{g}{i - i % 3}" and r.total == i * (i + 1) // 2 and (r.before.v if r.before else None) == (i - 1 if i else None)
+
+
+BLOCKS = "document_id string, block_index int, block_type string, text string, page_idx int, section string, bbox array<double>"
+
+
+def placed(spark, rows, **options):
+    df = spark.createDataFrame(rows, BLOCKS)
+    return df, chunking.layout(df, F.col("section"), **options)
 
 
 def test_packing(spark):
-    rows = [("d", i, "x" * n, s, p) for i, (n, s, p) in enumerate([(500, "s", 0), (500, "s", 0), (300, "s", 0), (2000, "s", 0), (10, "t", 0), (10, "t", 5), (10, None, 6), (10, None, 6)])]
-    df = spark.createDataFrame(rows, "document_id string, block_index int, text string, section string, page_idx int")
-    packed = chunking.pack(df)
-    assert sorted((r.first_index, r.last_index) for r in packed.collect()) == [(0, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 7)]
-    assert sorted((r.chunk_index, r.n_blocks) for r in chunking.merge_short(packed).collect()) == [(0, 2), (1, 1), (2, 5)]
-    assert chunking.pack(df.limit(0)).count() == 0
+    rows = [("d", i, "text", "x" * n, p, s, None) for i, (n, s, p) in enumerate([(500, "s", 0), (500, "s", 0), (300, "s", 0), (2000, "s", 0), (10, "t", 0), (10, "t", 5), (10, None, 6), (10, None, 6)])]
+    rows += [("d", 20, "header", "running", 0, "not a section", None), ("d", 21, "text", None, 6, None, None), ("d", 22, "table", "", 6, None, None)]
+    df, at = placed(spark, rows)
+    assert sorted((r.first_index, r.last_index) for r in chunking.packed(df, at).collect()) == [(0, 1), (2, 2), (3, 3), (4, 4), (5, 7)]
+    made = {r.chunk_index: r for r in chunking.chunks(df, at).collect()}
+    assert {k: r.source_block_indices for k, r in made.items()} == {0: [0, 1], 1: [2], 2: [3, 4, 5, 6, 7]}
+    assert made[2].text_sha256 == hashlib.sha256(b"x" * 2000).hexdigest() and made[2].section == "s" and made[2].page_end == 6
+    assert [r.section for r in at.where("route = 'table'").collect()] == ["t"]
+    assert placed(spark, rows[:0])[1].count() == 0
+
+
+def packed_one_by_one(rows, limit, least):
+    """The blocks of each chunk, by going through the blocks of one document in order."""
+    section, packs, last = None, [], None
+    for _, index, kind, text, page, title, _ in sorted(rows, key=lambda r: r[1]):
+        if kind in chunking.SKIPPED:
+            continue
+        section = title if title is not None else section
+        if kind != "text" or not (text or "").strip():
+            continue
+        page = page or 0
+        if packs and sum(len(t) + 2 for _, t in packs[-1]) + len(text) <= limit and last[0] == section and page <= last[1] + 1:
+            packs[-1].append((index, text))
+        else:
+            packs.append([(index, text)])
+        last = (section, page)
+    out = []
+    for pack in packs:
+        short = sum(len(t) + 2 for _, t in pack) - 2 < least
+        if short and out:
+            out[-1] += [i for i, _ in pack]
+        elif not short or "lipase" in "".join(t for _, t in pack):
+            out.append([i for i, _ in pack])
+    return out
+
+
+def test_packing_over_buckets_equals_one_pass(spark):
+    draw, rows = random.Random(4), []
+    for document in range(12):
+        for i in range(draw.choice([1, 7, 60, 150])):
+            text = draw.choice(["", " ", None, "lipase", "x" * draw.randint(1, 30), "y" * draw.randint(30, 260)])
+            rows.append((f"d{document}", i * draw.choice([1, 3]) + 200 * i, draw.choice(["text"] * 8 + ["header", "table", "other"]), text, draw.choice([None, i // 20, i // 20 + 1]), draw.choice([None] * 15 + ["a", "b"]), None))
+    df, at = placed(spark, rows, limit=200, least=40, bucket=800)
+    got = {}
+    for r in chunking.chunks(df, at).collect():
+        got.setdefault(r.document_id, []).append((r.chunk_index, r.source_block_indices))
+    for document in {r[0] for r in rows}:
+        expected = packed_one_by_one([r for r in rows if r[0] == document], 200, 40)
+        assert [b for _, b in sorted(got.get(document, []))] == expected and [i for i, _ in sorted(got.get(document, []))] == list(range(len(expected)))
+
+
+def test_tables_and_candidates(spark):
+    df, at = placed(spark, [("d", 0, "text", "lipase with a yield of 5 % " * 5, 0, "s", [0.0, 1.0, 2.0, 3.0]), ("d", 1, "text", "nothing of note in this rather long block of plain words, it goes on and on", 9, None, None)])
+    body = spark.createDataFrame([("d", 3, 2, None, "s", "Table 1", ["Enzyme", "Yield (%)", "References"], [["lipase", "120", "[3]"], ["", "5", "x"]]), ("d", 4, None, [1.0], None, None, [], [])], "document_id string, block_index int, page_idx int, bbox array<double>, section string, caption string, columns array<string>, rows array<array<string>>")
+    made = {r.source_block_index: r for r in tables.records(body).collect()}
+    assert made[3].table_id == "d_p2_t3" and made[3].row_count == 2 and made[3].quality_flags == ["suspicious_reference_cell", "suspicious_table_yield_gt_100"]
+    assert made[3].text == "Columns: Enzyme | Yield (%) | References\nRow 1: Enzyme: lipase; Yield (%): 120; References: [3]\nRow 2: Enzyme: ; Yield (%): 5; References: x"
+    assert (made[4].table_id, made[4].text, made[4].quality_flags, made[4].bbox) == ("d_p0_t4", "", ["table_parse_empty"], None)
+    mirrored = {r.table_id: r for r in tables.chunks(tables.records(body)).collect()}
+    assert mirrored["d_p2_t3"].chunk_id == "d_table_chunk_0000" and mirrored["d_p2_t3"].text.startswith("Table 1\nColumns")
+    found = {r.candidate_id: r for r in chunking.extraction_candidates(chunking.chunks(df, at), tables.records(body)).collect()}
+    assert set(found) == {"cand_d_chunk_0000", "cand_d_p2_t3", "cand_d_p0_t4"} and found["cand_d_p0_t4"].candidate_types == ["table_metric"]
+    assert found["cand_d_chunk_0000"].candidate_types == ["enzyme_identity", "performance_metric"] and found["cand_d_chunk_0000"].bbox == [0.0, 1.0, 2.0, 3.0]
+    records = {r.source_id: r for r in evidence.records_from_tables(tables.records(body)).where("extracted LIKE '%:1}'").collect()}
+    assert json.loads(records["d_p2_t3"].extracted) == {"enzyme_name": "lipase", "substrate": None, "operating_conditions": None, "reaction_system": None, "acyl_acceptor": None, "reference": "[3]", "table_id": "d_p2_t3", "row_index": 1}
+    assert records["d_p2_t3"].quality_flags == ["suspicious_table_yield_gt_100"] and records["d_p2_t3"].review_reasons == ["metric_percent_gt_100", "upstream_quality_flags"]
 
 
 def test_ids_and_vectors(spark):
@@ -89,12 +159,57 @@ def test_ids_and_vectors(spark):
         index.HashEmbedder(0)
 
 
-def test_points_cover_chunks_and_evidence(spark):
-    chunk = spark.createDataFrame([("c1", "B10", "B10.pdf", "s", 0, 0, "lipase text", [])], "chunk_id string, document_id string, source_pdf string, section string, page_start int, page_end int, text string, quality_flags array<string>")
-    kind = "evidence_id string, source_id string, record_type string, document_id string, source_pdf string, section string, page_start int, page_end int, quality_flags array<string>, requires_review boolean, extracted string, metrics array<struct<name string, value double>>, evidence_span string"
-    record = spark.createDataFrame([("ev_1", "c1", "performance_metric", "B10", "B10.pdf", "s", 0, 0, ["low"], True, "{}", [], "span")], kind)
-    made = index.points(chunk, record, index.HashEmbedder(64)).collect()
-    assert {(r.point_type, r.citation, len(r.vector), r.usable_for_ranking) for r in made} == {("rag_chunk", "B10.pdf:p1", 64, True), ("evidence_record", "B10.pdf:p1", 64, False)}
+def test_points_are_chunks_tables_and_evidence(spark):
+    common = "document_id string, source_pdf string, section string, quality_flags array<string>, signals array<string>, text string"
+    chunk = spark.createDataFrame([("B10", "B10.pdf", "s", [], ["x"], "lipase text", "c1", "text", 0, 0)], common + ", chunk_id string, chunk_type string, page_start int, page_end int")
+    made_tables = spark.createDataFrame([("B10", "B10.pdf", "s", ["low"], [], "body", "t1", 3, "cap", ["a"], 1)], common + ", table_id string, page_idx int, caption string, columns array<string>, row_count int")
+    kind = "evidence_id string, source_id string, record_type string, document_id string, source_pdf string, section string, page_start int, page_end int, quality_flags array<string>, review_reasons array<string>, confidence string, requires_review boolean, extracted string, metrics array<struct<name string, value double>>, evidence_span string"
+    record = spark.createDataFrame([("ev_1", "c1", "performance_metric", "B10", "B10.pdf", "s", 0, 1, [], ["low"], "low", True, "{}", [], "span")], kind)
+    made = {r.point_type: r for r in index.points(chunk, made_tables, record, index.provider("hash_v1", dimensions=64)).collect()}
+    assert {(r.point_type, r.citation, len(r.vector), r.usable_for_ranking) for r in made.values()} == {("rag_chunk", "B10.pdf:p1", 64, True), ("table_record", "B10.pdf:p4", 64, False), ("evidence_record", "B10.pdf:p1-p2", 64, False)}
+    assert made["table_record"].text == "cap\nbody" and made["evidence_record"].parent_source_id == "c1"
+    asked = spark.createDataFrame([("q", "lipase text"), ("none", "")], "k string, t string")
+    hits = search.retrieve(spark.createDataFrame(list(made.values()), schema=index.points(chunk, made_tables, record, index.provider("hash_v1", dimensions=64)).schema), asked, "k", "t", index.HashEmbedder(64), 2, usable_only=False).collect()
+    assert sorted((r.k, r["rank"], r.source_id) for r in hits)[0] == ("q", 1, "c1") and len(hits) == 2
+    with pytest.raises(ValueError):
+        index.provider("unknown")
+
+
+def test_collection(spark, tmp_path):
+    rows = lambda *items: spark.createDataFrame([(i, "rag_chunk", v) for i, v in items], "id string, point_type string, vector array<double>")
+    made = index.Collection(spark, str(tmp_path / "c"))
+    with pytest.raises(RuntimeError):
+        made.upsert(rows(("a", [1.0])))
+    made.ensure(2)
+    made.ensure(2)
+    with pytest.raises(RuntimeError):
+        made.ensure(3)
+    made.upsert(rows(("a", [1.0, 0.0]), ("b", [0.0, 1.0])))
+    made.upsert(rows(("b", [1.0, 1.0])))
+    assert sorted((r.id, r.vector) for r in made.points().collect()) == [("a", [1.0, 0.0]), ("b", [1.0, 1.0])]
+    with pytest.raises(RuntimeError):
+        made.upsert(rows(("c", [1.0])))
+    made.ensure(3, recreate=True)
+    assert made.size() == 3 and index.named_size({"a": {"size": 4}, "b": {"size": 4}}) == 4 and index.named_size({"a": {"size": 4}, "b": {"size": 5}}) is None
+
+
+def test_sentence_provider(spark):
+    made = index.provider("sentence", load=lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], dimensions=2)
+    assert one(spark, made.embed(F.lit("abc"))) == [3.0, 1.0] and one(spark, made.embed(F.lit(None).cast("string"))) == [0.0, 1.0]
+
+
+def test_context(spark):
+    kind = "g int, hit_rank int, score double, point_type string, record_type string, source_id string, citation string, usable_for_ranking boolean, quality_flags array<string>, extracted string, metrics array<struct<name string, value double>>, text string"
+    df = spark.createDataFrame([(1, 2, 0.51236, "evidence_record", "x", "ev_1", "A.pdf:p1", True, ["a", "b"], '{"carrier": "ZIF-8", "n": null, "ok": true}', [("y", 5.0)], "t" * 20), (1, 3, 0.25, "rag_chunk", None, "c1", None, False, None, None, None, None)], kind)
+    first = "[1] score=0.5124 type=evidence_record record_type=x\nsource_id=ev_1 citation=A.pdf:p1 usable=True flags=['a', 'b']\nextracted={'carrier': 'ZIF-8', 'n': None, 'ok': True}\nmetrics=[{'name': 'y', 'value': 5.0}]\ntext=" + "t" * 9
+    assert search.context(df, "g", 9).head().context == first + "\n\n[2] score=0.2500 type=rag_chunk record_type=-\nsource_id=c1 citation=- usable=False flags=[]\nextracted={}\nmetrics=[]\ntext="
+
+
+def test_enrich(spark):
+    hits = spark.createDataFrame([("d", "ev", "c1", None), ("d", "t1", None, None), ("e", "c1", "", "given"), ("e", "c1", None, None)], "document_id string, source_id string, parent_source_id string, source_chunk_text string")
+    chunks = spark.createDataFrame([("d", "c1", "chunk"), ("d", "t1", "mirror")], "document_id string, chunk_id string, text string")
+    own = spark.createDataFrame([("d", "t1", "table")], "document_id string, table_id string, text string")
+    assert sorted((r.document_id, r.source_id, r.source_chunk_text or "") for r in search.enrich(hits, chunks, own).collect()) == [("d", "ev", "chunk"), ("d", "t1", "table"), ("e", "c1", ""), ("e", "c1", "given")]
 
 
 def test_references(spark):
