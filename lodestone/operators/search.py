@@ -71,19 +71,55 @@ def resolve(refs: DataFrame, hits: DataFrame) -> DataFrame:
     return plain.join(best, ["group_id", "ref"]).select("group_id", "ord", "ref", "h.source_id", "h.citation")
 
 
+def elements(answers: DataFrame, column: str, path: str | None, allowed) -> DataFrame:
+    """(group_id, pos, v): the objects of the JSON list in ``column`` (or in its member ``path``) as variants, but those with a key not in ``allowed``.
+
+    A single object stands for a list of one where no ``path`` is given.
+    """
+    text = F.col(column) if path is None else F.get_json_object(column, f"$.{path}")
+    text = F.when(X.strip(text).startswith("["), text).when(X.strip(text).startswith("{") & F.lit(path is None), F.concat(F.lit("["), text, F.lit("]")))
+    each = answers.select("group_id", F.posexplode(F.from_json(text, "array<string>")).alias("pos", "e")).where(F.col("e").startswith("{"))
+    keys = F.json_object_keys("e")
+    return each.where(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) == 0).select("group_id", "pos", F.try_parse_json("e").alias("v"))
+
+
+def kind_of(name: str) -> Column:
+    """The kind of a member of the variant ``v``, null if it is not there."""
+    return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+
+
+def text_of(name: str) -> Column:
+    return F.try_variant_get("v", f"$.{name}", "string")
+
+
+def confidence_of() -> Column:
+    """The confidence given, medium if it is none of the known ones."""
+    return F.when(text_of("confidence").isin("low", "medium", "high"), text_of("confidence")).otherwise("medium")
+
+
+def resolved(each: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of :func:`elements` of which some reference is one of the group's ``hits``, with evidence_ids and citations, each once, in order."""
+    refs = lambda name: F.coalesce(F.try_variant_get("v", f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+    named = each.select("group_id", "pos", F.posexplode(F.concat(refs("evidence_ids"), refs("citations"))).alias("i", "ref")).withColumn("ord", F.struct("pos", "i"))
+    found = resolve(named.select("group_id", "ord", "ref"), hits)
+    kept = found.groupBy("group_id", F.col("ord.pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.col("ord.i").alias("i"), "source_id", "citation"))).alias("r"))
+    once = lambda part: F.array_distinct(F.array_compact(F.transform("r", lambda x: F.nullif(x[part], F.lit("")))))
+    return each.join(kept, ["group_id", "pos"]).withColumns({"evidence_ids": once("source_id"), "citations": once("citation")})
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of each group with their rank from 1."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def _shown(column: Column) -> Column:
+def shown(column: Column) -> Column:
     """JSON as a generator is shown it: with single quotes, True, False and None; ``{}`` for null."""
 
     @F.pandas_udf("string")
-    def shown(values: pd.Series) -> pd.Series:
+    def written(values: pd.Series) -> pd.Series:
         return values.map(lambda x: repr(json.loads(x)) if x else "{}")
 
-    return F.when(F.coalesce(column, F.lit("{}")).isin("{}", "[]"), F.coalesce(column, F.lit("{}"))).otherwise(shown(column))
+    return F.when(F.coalesce(column, F.lit("{}")).isin("{}", "[]"), F.coalesce(column, F.lit("{}"))).otherwise(written(column))
 
 
 def context_head(place: Column) -> Column:
@@ -102,8 +138,8 @@ def context(hits: DataFrame, group: str, width: int = 900) -> DataFrame:
     quality_flags, extracted (JSON), metrics, text. Nulls show as a dash, an empty list or nothing.
     """
     placed = hits.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy("hit_rank")))
-    metrics = _shown(F.to_json(F.coalesce("metrics", F.array().cast(hits.schema["metrics"].dataType))))
-    block = F.concat_ws("\n", context_head(F.col("_at")), F.concat(F.lit("extracted="), _shown(F.col("extracted"))), F.concat(F.lit("metrics="), metrics), F.concat(F.lit("text="), F.substring(F.coalesce("text", F.lit("")), 1, width)))
+    metrics = shown(F.to_json(F.coalesce("metrics", F.array().cast(hits.schema["metrics"].dataType))))
+    block = F.concat_ws("\n", context_head(F.col("_at")), F.concat(F.lit("extracted="), shown(F.col("extracted"))), F.concat(F.lit("metrics="), metrics), F.concat(F.lit("text="), F.substring(F.coalesce("text", F.lit("")), 1, width)))
     each = placed.select(group, "_at", block.alias("block"))
     return each.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
 

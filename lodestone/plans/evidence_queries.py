@@ -65,8 +65,7 @@ def metric_numbers(spark, folder):
 
 
 def benefits(spark, folder):
-    rows = _hits(spark, folder, "metrics").select("hit_id", F.posexplode("metrics").alias("pos", "m")).where("m.name IS NOT NULL AND m.value IS NOT NULL")
-    return rows.select("hit_id", "pos", F.concat("m.name", F.lit(": "), F.regexp_replace(F.col("m.value").cast("decimal(30,8)").cast("string"), r"(\.\d+?)0+$", "$1"), F.coalesce("m.unit", F.lit(""))).alias("benefit"))
+    return _hits(spark, folder, "metrics").select("hit_id", F.posexplode(candidates.benefits(F.col("metrics"))).alias("pos", "benefit"))
 
 
 def record_counts(spark, folder):
@@ -200,25 +199,48 @@ def references_resolved(spark, folder):
     return search.resolve(refs.select("group_id", (F.col("rank") * 10 + F.col("pos")).alias("ord"), "ref"), hits)
 
 
+def _group_hits(spark, folder, *more: str) -> DataFrame:
+    rows = _hits(spark, folder, "query_id", "hit_rank", "source_id", "citation", "record_type", "extracted", "confidence", *more)
+    return rows.select(F.col("query_id").alias("group_id"), F.col("hit_rank").alias("rank"), "source_id", "citation", "record_type", "extracted", "confidence", *more)
+
+
 def settings_compared(spark, folder):
-    """Each formulation against the evidence of the query of the same number: the settings that differ."""
+    """Each formulation against the evidence of the query of the same number: the settings that differ, at most six."""
     own = table(spark, folder, "formulation_inputs").dropDuplicates(["formulation_id"])
     tree = F.to_json(F.struct("carrier", F.struct(F.col("enzyme_loading.value"), F.col("enzyme_loading.unit")).alias("enzyme_loading"), F.col("immobilization_conditions.temperature.value").alias("temperature"), F.col("buffer.ph").alias("ph")))
-    settings = own.select(F.col("formulation_id").alias("group_id"), compare.flatten_settings(tree).alias("settings"))
-    hits = _hits(spark, folder, "query_id", "hit_rank", "record_type", "extracted").where(F.col("record_type").isin(*compare.SOURCES))
-    fields = F.from_json("extracted", T.MapType(T.StringType(), T.StringType()))
-    items = hits.select(F.col("query_id").alias("group_id"), F.col("hit_rank").alias("rank"), F.posexplode(F.map_entries(fields)).alias("at", "f")).select("group_id", "rank", "at", F.col("f.key").alias("key"), F.col("f.value").alias("value"))
-    kept = items.where(F.col("key").isin(*compare.COMPARED) & F.col("value").isNotNull() & ~F.col("value").isin("", "[]"))
-    return compare.changes(settings, kept).select("group_id", "ord", "field_path", "key")
+    settings = compare.settings(own.select(F.col("formulation_id").alias("group_id"), tree.alias("tree")), "group_id", "tree")
+    found = compare.changes(settings, compare.reference_items(_group_hits(spark, folder)))
+    return found.select("group_id", "ord", "field_path", F.regexp_extract("rationale", r"^Evidence reports ([A-Za-z_]+)=", 1).alias("key"), compare.plain(F.col("current_value")).alias("current_value"), F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("citations", ",").alias("citations"), "confidence")
 
 
 def answer_candidates(spark, folder):
     """The candidates of each query: of the stored answer of the same number where its references hold, else from the hits."""
     answers = table(spark, folder, "recommendation_outputs", "recommendation_id", "request_id", "candidates").dropDuplicates(["recommendation_id"])
     one = answers.groupBy(F.col("request_id").alias("group_id")).agg(F.min_by("candidates", "recommendation_id").alias("candidates"))
-    rows = _hits(spark, folder, "query_id", "hit_rank", "source_id", "citation", "record_type", "extracted", "confidence", "text")
-    hits = rows.select(F.col("query_id").alias("group_id"), F.col("hit_rank").alias("rank"), "source_id", "citation", "record_type", F.from_json("extracted", T.MapType(T.StringType(), T.StringType())).alias("extracted"), "confidence", "text")
-    return candidates.candidates(one, hits).select("group_id", "rank", "origin", F.sha2("strategy_summary", 256).alias("summary"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+    hits = _group_hits(spark, folder, "text", "metrics").withColumn("extracted", F.from_json("extracted", T.MapType(T.StringType(), T.StringType())))
+    made = candidates.candidates(one, hits)
+    return made.select("group_id", "rank", "origin", F.sha2("strategy_summary", 256).alias("summary"), "carrier", "immobilization_method", F.array_join(F.array_sort(F.map_keys("recommended_conditions")), ",").alias("conditions"), F.array_join("expected_benefits", ",").alias("benefits"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("citations", ",").alias("citations"))
+
+
+def evidence_candidates(spark, folder):
+    """The candidates that the hits alone give."""
+    hits = _group_hits(spark, folder, "text", "metrics").withColumn("extracted", F.from_json("extracted", T.MapType(T.StringType(), T.StringType())))
+    made = candidates.from_evidence(hits)
+    return made.select("group_id", "rank", "origin", F.sha2("strategy_summary", 256).alias("summary"), F.array_join(F.array_sort(F.map_keys("recommended_conditions")), ",").alias("conditions"), F.array_join("expected_benefits", ",").alias("benefits"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("citations", ",").alias("citations"))
+
+
+def answers_rounded_off(spark, folder):
+    """What stands beside the candidates of each request: its id, limitations and next experiments, from the hits of the query of the same number."""
+    requests = table(spark, folder, "recommendation_inputs", "request_id", "enzyme_name", "objective").dropDuplicates(["request_id"])
+    hits = _hits(spark, folder, "query_id", "hit_rank", "source_id", "citation", "requires_review")
+    listed = F.array_sort(F.collect_list(F.struct("hit_rank", "source_id", "citation")))
+    groups = hits.groupBy(F.col("query_id").alias("request_id")).agg(listed.alias("h"), F.max("requires_review").alias("any_review"))
+    joined = requests.join(groups, "request_id", "left").withColumns({"n": F.coalesce(F.size("h"), F.lit(0)), "ids": F.transform("h", lambda x: x["source_id"]), "cited": F.transform("h", lambda x: x["citation"])})
+    nothing = F.lit(None).cast("string")
+    return joined.select(
+        "request_id", candidates.answer_id(F.coalesce("enzyme_name", F.lit("")), F.coalesce("objective.primary", F.lit("")), F.coalesce("ids", F.array().cast("array<string>"))).alias("id"),
+        F.array_join(candidates.limitations(F.lit(None).cast("array<string>"), F.greatest("n", F.lit(0)), F.coalesce("any_review", F.lit(False))), "; ").alias("limitations"), F.array_join(candidates.experiments(nothing, F.col("cited"), F.greatest("n", F.lit(0))), ",").alias("experiments"),
+    )
 
 
 def contract_checks(spark, folder):
@@ -233,13 +255,6 @@ def answer_checks(spark, folder):
     return rows.select("recommendation_id", contracts.answer_shape(F.col("answer_type"), n, F.col("abstention_reason")).alias("valid"), n.cast("int").alias("n_candidates"))
 
 
-def answer_ids(spark, folder):
-    """The stable id of each query: of its number and its five best sources."""
-    rows = search.top_per_group(_hits(spark, folder, "query_id", "hit_rank", "source_id"), ["query_id"], ["hit_rank", "hit_id"], 5)
-    ids = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id"))), lambda r: r["source_id"]), ",").alias("ids"))
-    return ids.select("query_id", F.concat(F.lit("rec_"), F.substring(F.sha1(F.concat_ws("|", F.col("query_id").cast("string"), "ids")), 1, 12)).alias("id"))
-
-
 def first_conditions(spark, folder):
     """Of each query the first condition record with findings."""
     rows = _hits(spark, folder, "query_id", "hit_rank", "record_type", "extracted").where("record_type = 'formulation_condition' AND extracted IS NOT NULL AND extracted <> '{}'")
@@ -281,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         review_queue, evidence_citations, evidence_first, evidence_ids, metrics_first, metric_numbers, benefits, record_counts, flag_counts, validation_report, corpus_summary, point_type_counts, point_ids, points_upserted, search_top, search_everything, search_one, search_batch, requests_named, point_scores,
-        hits_enriched, hit_parents, hit_contexts, hit_context_heads, hits_ranked, references_resolved, settings_compared, answer_candidates, contract_checks, answer_checks, answer_ids, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
+        hits_enriched, hit_parents, hit_contexts, hit_context_heads, hits_ranked, references_resolved, settings_compared, answer_candidates, evidence_candidates, answers_rounded_off, contract_checks, answer_checks, first_conditions, answer_slices, answer_joined, answer_events, orders_pending, latest_events, names_shortest,
     )
 }
 
@@ -293,6 +308,7 @@ _COUNT = lambda key: f"SELECT '{key}' AS counted, CASE WHEN {key} IS NULL OR CAS
 _Q = f"q AS (SELECT vector AS v FROM points WHERE vec_no = {ASKED})"
 _DOT = lambda a, b: f"list_sum(list_transform(generate_series(1, 64), lambda i: {a}[i] * {b}[i]))"
 _SCORE = f"CASE WHEN {_DOT('vector', 'vector')} > 0 THEN {_DOT('vector', 'v')} / (sqrt({_DOT('vector', 'vector')}) * sqrt({_DOT('v', 'v')})) ELSE 0 END"
+_NUMBER = r"regexp_replace(CAST(CAST(%s AS DECIMAL(30, 8)) AS VARCHAR), '(\.\d+?)0+$', '\1')"
 _SEARCH = """WITH u AS (SELECT * FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0), s AS (SELECT q.vec_no AS query, p.vec_no AS vec_no, list_cosine_similarity(q.vector, p.vector) AS score FROM u q JOIN (SELECT * FROM u WHERE {where}) p ON q.vec_no % 50 = 0 AND p.vec_no <> q.vec_no),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_no) AS k FROM s) SELECT query, vec_no, round(score, 6) AS score FROM r WHERE k <= {k}"""
 _PARTS = "d AS (SELECT doc_id, text, CAST(ceil(length(text) / 400) AS BIGINT) AS n FROM documents), s AS (SELECT doc_id, text, n, unnest(generate_series(0, n - 1)) AS seq FROM d WHERE n > 0)"
@@ -306,7 +322,7 @@ ORACLES = {
     "evidence_citations": rf"WITH {_E}, c AS (SELECT *, coalesce(nullif(source_pdf, ''), nullif(document_id, ''), '<unknown>') AS f FROM e), d AS (SELECT evidence_id, f, {_CITED} AS citation, page_start FROM c) SELECT evidence_id, citation, f AS file, page_start + 1 AS page FROM d",
     "metrics_first": f"WITH {_H}, {_M}, r AS (SELECT hit_id, pos, m.name AS name, m.value AS value, m.unit AS unit, row_number() OVER (PARTITION BY hit_id, m.name, m.value, m.unit, m.cycle ORDER BY pos) AS k FROM m WHERE m IS NOT NULL) SELECT hit_id, CAST(row_number() OVER (PARTITION BY hit_id ORDER BY pos) - 1 AS INTEGER) AS pos, name, value, unit FROM r WHERE k = 1",
     "metric_numbers": rf"WITH {_H}, {_M} SELECT hit_id, CAST(pos AS INTEGER) AS pos, CAST(nullif(regexp_extract(m.raw, '\d+(?:\.\d+)?'), '') AS DOUBLE) AS number FROM m WHERE regexp_matches(m.raw, '\d')",
-    "benefits": rf"WITH {_H}, {_M} SELECT hit_id, CAST(pos AS INTEGER) AS pos, m.name || ': ' || regexp_replace(CAST(CAST(m.value AS DECIMAL(30, 8)) AS VARCHAR), '(\.\d+?)0+$', '\1') || coalesce(m.unit, '') AS benefit FROM m WHERE m.name IS NOT NULL AND m.value IS NOT NULL",
+    "benefits": rf"WITH {_H}, {_M}, t AS (SELECT hit_id, row_number() OVER (PARTITION BY hit_id ORDER BY pos) - 1 AS pos, m FROM m WHERE m.name <> '' AND m.value IS NOT NULL) SELECT hit_id, CAST(pos AS INTEGER) AS pos, m.name || ': ' || {_NUMBER % 'm.value'} || coalesce(m.unit, '') AS benefit FROM t",
     "record_counts": f"WITH {_E} " + " UNION ALL ".join(_COUNT(k) for k in ("record_type", "confidence", "section", "requires_review")),
     "flag_counts": f"WITH {_E}, a AS (SELECT 'flag' AS counted, unnest(quality_flags) AS key FROM e UNION ALL SELECT 'reason', unnest(review_reasons) FROM e) SELECT counted, key, count(*) AS n FROM a WHERE key IS NOT NULL GROUP BY 1, 2",
     "validation_report": f"WITH {_E} SELECT document_id, count(*) AS n_records, count(*) FILTER (requires_review) AS n_review, count(*) FILTER (confidence = 'low') AS n_low, CAST(sum(coalesce(len(quality_flags), 0)) AS BIGINT) AS n_flags, CAST(sum(coalesce(len(review_reasons), 0)) AS BIGINT) AS n_reasons FROM e GROUP BY 1",
@@ -347,6 +363,32 @@ ORACLES = {
     "orders_pending": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "latest_events": "SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC",
     "names_shortest": "SELECT DISTINCT ON (p_brand) p_brand, p_partkey FROM part ORDER BY p_brand, length(p_name), p_name, p_partkey",
-    "answer_ids": f"""WITH {_H}, r AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, hit_id) AS k FROM h), s AS (SELECT query_id, string_agg(source_id, ',' ORDER BY k) AS ids FROM r WHERE k <= 5 GROUP BY 1)
-        SELECT query_id, 'rec_' || substr(sha1(query_id || '|' || ids), 1, 12) AS id FROM s""",
+    "settings_compared": f"""WITH {_H}, f AS (SELECT DISTINCT ON (formulation_id) * FROM formulation_inputs ORDER BY formulation_id, submitted_at),
+        own AS (SELECT formulation_id AS group_id, 'carrier' AS setting, to_json(carrier) AS value FROM f WHERE carrier IS NOT NULL UNION ALL SELECT formulation_id, 'enzyme_loading', to_json({{'unit': enzyme_loading.unit, 'value': enzyme_loading.value}}) FROM f UNION ALL SELECT formulation_id, 'temperature', to_json(immobilization_conditions.temperature.value) FROM f
+                WHERE immobilization_conditions.temperature.value IS NOT NULL UNION ALL SELECT formulation_id, 'pH', to_json(buffer.ph) FROM f WHERE buffer.ph IS NOT NULL),
+        k AS (SELECT query_id AS group_id, hit_rank, source_id, citation, confidence, extracted, unnest(json_keys(extracted)) AS key, generate_subscripts(json_keys(extracted), 1) AS seq FROM h WHERE record_type IN {compare.SOURCES} AND json_valid(extracted) AND json_type(extracted) = 'OBJECT'),
+        i AS (SELECT *, json_extract(extracted, '$."' || key || '"') AS value FROM k WHERE key IN {compare.COMPARED}),
+        j AS (SELECT i.*, own.value AS current, CASE key {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in compare.PLACE.items())} ELSE key END AS field_path FROM i LEFT JOIN own ON own.group_id = i.group_id AND own.setting = CASE lower(key) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in compare.ALIAS.items())} ELSE lower(key) END
+              WHERE json_type(i.value) <> 'NULL' AND CAST(i.value AS VARCHAR) NOT IN ('""', '[]')),
+        d AS (SELECT *, row_number() OVER (PARTITION BY group_id, field_path ORDER BY hit_rank, seq) AS n FROM j WHERE NOT coalesce(CASE WHEN TRY_CAST(current AS DOUBLE) IS NOT NULL AND json_type(value) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN abs(CAST(current AS DOUBLE) - CAST(value AS DOUBLE)) < 1e-9 ELSE lower(trim(current ->> '$')) = lower(trim(value ->> '$')) END, FALSE)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY hit_rank, seq) AS ord FROM d WHERE n = 1)
+        SELECT group_id, CAST(ord AS INTEGER) AS ord, field_path, key, CASE WHEN json_type(current) = 'OBJECT' THEN replace(replace(replace(CAST(current AS VARCHAR), '":', '": '), ',"', ', "'), '"unit": null, ', '') ELSE current ->> '$' END AS current_value, source_id AS evidence_ids, coalesce(citation, '') AS citations, coalesce(nullif(confidence, ''), 'medium') AS confidence FROM o WHERE ord <= 6""",
+    "evidence_candidates": f"""WITH {_H}, x AS (SELECT *, query_id AS group_id, CASE WHEN json_valid(extracted) AND json_type(extracted) = 'OBJECT' THEN extracted END AS j FROM h),
+        g AS (SELECT *, nullif(json_extract_string(j, '$.carrier'), '') AS c, nullif(json_extract_string(j, '$.carrier_variant'), '') AS v, nullif(json_extract_string(j, '$.immobilization_method'), '') AS m, record_type = 'table_comparison_row' AS is_row FROM x),
+        f AS (SELECT *, coalesce(record_type IN {candidates.STRATEGIES} AND (c IS NOT NULL OR v IS NOT NULL OR m IS NOT NULL OR is_row), FALSE) AS fits FROM g),
+        k AS (SELECT *, bool_or(fits) OVER (PARTITION BY group_id) AS anyfit, row_number() OVER (PARTITION BY group_id ORDER BY fits DESC, hit_rank, source_id) AS n FROM f),
+        w AS (SELECT group_id, arg_min(j, hit_rank) AS w FROM f WHERE record_type = 'formulation_condition' AND j IS NOT NULL AND len(json_keys(j)) > 0 GROUP BY 1)
+        SELECT k.group_id, CAST(n AS INTEGER) AS rank, CASE WHEN fits THEN 'evidence' ELSE 'fallback' END AS origin,
+               sha256(CASE WHEN NOT fits THEN coalesce(nullif(substr(text, 1, 300), ''), 'retrieved evidence') WHEN is_row THEN coalesce(nullif(json_extract_string(j, '$.enzyme_name'), ''), 'enzyme') || ' in ' || coalesce(nullif(json_extract_string(j, '$.substrate'), ''), 'substrate') || ' system with ' || coalesce(nullif(json_extract_string(j, '$.acyl_acceptor'), ''), 'acyl acceptor')
+                           WHEN coalesce(v, c) IS NOT NULL AND m IS NOT NULL THEN m || ' on ' || coalesce(v, c) ELSE substr(coalesce(text, ''), 1, 180) END) AS summary,
+               array_to_string(list_sort(list_distinct(list_concat(CASE WHEN fits THEN list_filter(coalesce(json_keys(j), []), lambda y: y NOT IN {candidates.NOT_CONDITIONS}) ELSE [] END, coalesce(json_keys(w), [])))), ',') AS conditions,
+               coalesce(array_to_string(list_transform(list_filter(metrics, lambda y: y.name <> '' AND y.value IS NOT NULL), lambda y: y.name || ': ' || {_NUMBER % 'y.value'} || coalesce(y.unit, '')), ','), '') AS benefits,
+               coalesce(nullif(confidence, ''), CASE WHEN fits THEN 'medium' ELSE 'low' END) AS confidence, source_id AS evidence_ids, coalesce(citation, '') AS citations
+        FROM k LEFT JOIN w ON w.group_id = k.group_id WHERE CASE WHEN anyfit THEN fits AND n <= 3 ELSE n = 1 END""",
+    "answers_rounded_off": f"""WITH {_H}, r AS (SELECT DISTINCT ON (request_id) * FROM recommendation_inputs ORDER BY request_id, submitted_at),
+        g AS (SELECT query_id, list(source_id ORDER BY hit_rank, source_id) AS ids, list(citation ORDER BY hit_rank, source_id) AS cited, bool_or(requires_review) AS review, count(*) AS n FROM h GROUP BY 1)
+        SELECT request_id, 'rec_' || substr(sha1(coalesce(enzyme_name, '') || '|' || coalesce(objective.primary, '') || '|' || coalesce(array_to_string(ids[:5], ','), '')), 1, 12) AS id,
+               concat_ws('; ', CASE WHEN n IS NULL THEN '{candidates.NO_EVIDENCE}' END, CASE WHEN review THEN '{candidates.TO_REVIEW}' END) AS limitations,
+               CASE WHEN n IS NULL THEN '' ELSE CAST(to_json({{'variable': '{candidates.EXPERIMENT[0]}', 'metric': '{candidates.EXPERIMENT[1]}', 'evidence_basis': list_filter(cited[:3], lambda x: x IS NOT NULL)}}) AS VARCHAR) END AS experiments
+        FROM r LEFT JOIN g ON g.query_id = r.request_id""",
 }

@@ -225,12 +225,30 @@ def test_search(spark):
         search.search(df, [1.0, 0.0], 0)
 
 
+ITEMS = "group_id int, rank int, record_type string, source_id string, citation string, confidence string, extracted string"
+
+
 def test_settings(spark):
-    tree = json.dumps({"carrier": "ZIF-8", "buffer": {"pH": 8}, "enzyme": {"loading": {"value": 500, "unit": "mg"}}})
-    assert compare.flatten(json.loads(tree))["pH"] == "8" and compare.alias("conditions.adsorption_time") == "time"
-    settings = spark.createDataFrame([(1, tree)], "group_id int, t string").select("group_id", compare.flatten_settings(F.col("t")).alias("settings"))
-    items = spark.createDataFrame([(1, 1, 0, "carrier", "zif-8"), (1, 2, 0, "carrier_variant", "silica"), (1, 2, 1, "ph", "8.0"), (1, 3, 0, "pH", "7"), (1, 4, 0, "pH", "6")], "group_id int, rank int, at int, key string, value string")
-    assert [(r.field_path, r.recommended_value) for r in compare.changes(settings, items).orderBy("ord").collect()] == [("carrier", "silica"), ("buffer.pH", "7")]
+    tree = json.dumps({"carrier": "ZIF-8", "buffer": {"pH": 8}, "enzyme": {"loading": {"value": 500, "unit": "mg"}}, "support": None, "additives": ["b", "a"], "label": "8"})
+    assert compare.members(tree)[1][:3] == (1, 1, "buffer") and compare.members("[1]") == compare.members("broken") == compare.members(None) == []
+    own = compare.settings(spark.createDataFrame([(1, tree.replace('"support": null, ', ""))], "group_id int, t string"), "group_id", "t")
+    assert {r.setting: r.value for r in own.collect()} == {"carrier": '"ZIF-8"', "buffer": '{"pH": 8}', "pH": "8", "enzyme": '{"loading": {"unit": "mg", "value": 500}}', "enzyme_loading": '{"unit": "mg", "value": 500}', "value": "500", "unit": '"mg"', "additives": '["b", "a"]', "label": '"8"'}
+    hit = lambda rank, tells, kind="formulation_condition": (1, rank, kind, f"ev_{rank}", None, None, json.dumps(tells))
+    hits = [hit(1, {"carrier": " zif-8 ", "enzyme_loading": {"unit": "MG", "value": 500}}), hit(2, {"carrier_variant": "silica", "pH": 8.0, "note": "x", "additives": []}), hit(3, {"ph": "8", "additives": ["A", "b"]}), hit(4, {"pH": 7}, "other"), hit(5, {"pH": 6.5, "temperature": {"value": 3}})]
+    found = compare.changes(own, compare.reference_items(spark.createDataFrame(hits, ITEMS))).orderBy("ord").collect()
+    assert [(r.field_path, r.current_value, r.recommended_value, r.evidence_ids, r.confidence) for r in found] == [
+        ("carrier", '"ZIF-8"', '"silica"', ["ev_2"], "medium"), ("additives", '["b", "a"]', '["A", "b"]', ["ev_3"], "medium"), ("buffer.pH", "8", "6.5", ["ev_5"], "medium"), ("immobilization_conditions.temperature", None, '{"value": 3}', ["ev_5"], "medium")
+    ]
+    assert found[0].rationale.startswith("Evidence reports carrier_variant=silica for") and "additives=['A', 'b'] for" in found[1].rationale
+
+
+def test_generated_changes(spark):
+    hits = spark.createDataFrame([(g, 1, "formulation_condition", "ev_1", "A.pdf:p1", None, '{"pH": 7}') for g in (1, 2)], ITEMS)
+    change = {"field_path": "buffer.pH", "current_value": 8, "recommended_value": {"a": 1}, "rationale": "r", "evidence_ids": ["1", "fake"], "confidence": "sure"}
+    answer = json.dumps({"changes": [change, {**change, "extra": 1}, {**change, "evidence_ids": ["fake"]}, {**change, "rationale": 3}, "text"]})
+    own = compare.settings(spark.createDataFrame([(1, '{"ph": 8}'), (2, '{"ph": 8}')], "group_id int, t string"), "group_id", "t")
+    made = compare.all_changes(spark.createDataFrame([(1, answer), (2, "broken"), (3, None)], "group_id int, answer string"), hits, own).orderBy("group_id").collect()
+    assert [(r.group_id, r.origin, r.field_path, r.current_value, r.recommended_value, r.evidence_ids, r.confidence) for r in made] == [(1, "generated", "buffer.pH", "8", '{"a":1}', ["ev_1"], "medium"), (2, "evidence", "buffer.pH", "8", "7", ["ev_1"], "medium")]
 
 
 def test_evidence_ids(spark):
