@@ -1,7 +1,11 @@
 import json
 import random
 
-from lodestone.operators.shred import as_list, children, parsed, shred_array, shred_json
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestone.operators.shred import LIST, VALUE, Leaves, Shape, as_list, children, levels_of_list, parsed, places, shred_array, shred_json
 
 NAMES = frozenset(["conditions", "steps", "additives", "properties"])
 
@@ -33,24 +37,71 @@ def walked(value, path, names):
 
 
 def record(draw, depth=0):
+    """A random record; any name can hold a list, an object or a plain value."""
     out = {}
     for name in draw.sample(["conditions", "steps", "additives", "properties", "carrier", "note"], draw.randint(0, 4)):
-        one = lambda: draw.choice([None, "text", 5, record(draw, depth + 1) if depth < 3 else None])
-        out[name] = draw.choice([one(), [one() for _ in range(draw.randint(0, 3))], json.dumps([one() for _ in range(2)])]) if name in NAMES else draw.choice([None, "plain", record(draw, depth + 1) if depth < 3 else 1])
+        one = lambda: draw.choice([None, "text", 5, record(draw, depth + 1) if depth < 3 else None, [] if depth < 2 else None])
+        out[name] = draw.choice([one(), one(), [one() for _ in range(draw.randint(0, 3))], json.dumps([one() for _ in range(2)])])
     return out
 
 
+def paths(records):
+    out = [[] for _ in records]
+    for row in children(records, NAMES, "extracted"):
+        out[row[0]].append(row[2])
+    return [sorted(p) for p in out]
+
+
 def test_same_elements_as_recursion():
     draw = random.Random(8)
-    for _ in range(400):
-        made = record(draw)
-        assert sorted(r[1] for r in children(made, NAMES, "extracted")) == walked(made, "extracted", NAMES), made
+    records = [record(draw) for _ in range(600)]
+    assert paths(records) == [walked(r, "extracted", NAMES) for r in records]
+    for r in records[:200]:
+        assert paths([r]) == [walked(r, "extracted", NAMES)], r
+
+
+@pytest.mark.parametrize(
+    "made, expected",
+    [
+        ({"conditions": [{"carrier": {"x": 1}}, {"carrier": [{"properties": ["p"]}]}]}, ["extracted.conditions[0]", "extracted.conditions[1]", "extracted.conditions[1].carrier[0].properties[0]"]),
+        ({"conditions": [{"note": "plain"}, {"note": [{"steps": "a"}, {"steps": [None, "b"]}]}]}, ["extracted.conditions[0]", "extracted.conditions[1]", "extracted.conditions[1].note[0].steps[0]", "extracted.conditions[1].note[1].steps[1]"]),
+        ({"conditions": [{}, None, [], {"steps": []}]}, ["extracted.conditions[0]", "extracted.conditions[2]", "extracted.conditions[3]"]),
+        ({"note": None, "steps": None}, []),
+    ],
+)
+def test_mixed_shapes_keep_their_places(made, expected):
+    assert paths([made]) == [expected] and paths([{}, made, None, {"conditions": 1}])[1] == expected
+
+
+def test_levels_of_leaf_columns():
+    names = frozenset(["steps", "additives"])
+    records = [{"steps": [{"t": 1, "additives": ["a", None]}, {"additives": []}, None]}, {}, {"steps": []}]
+    shape = Shape()
+    for r in records:
+        shape.observe(r, names)
+    leaves = Leaves(shape, names)
+    for r in records:
+        leaves.add(r)
+    own, t, inner = (leaves.columns[p] for p in (("steps", LIST, VALUE), ("steps", LIST, "t", VALUE), ("steps", LIST, "additives", LIST, VALUE)))
+    assert own[:2] == ([0, 1, 1, 0, 0], [3, 3, 2, 0, 1]) and t == ([0, 1, 1, 0, 0], [5, 3, 2, 0, 1], [1, None, None, None, None])
+    assert inner == ([0, 2, 1, 1, 0, 0], [7, 5, 4, 2, 0, 1], ["a", None, None, None, None, None])
+    numbers, index = places(np.array(inner[0]), 2)
+    assert numbers.tolist() == [0, 0, 0, 0, 1, 2] and [i.tolist() for i in index] == [[0, 0, 1, 2, 0, 0], [0, 1, 0, 0, 0, 0]]
+
+
+def test_levels_of_native_lists():
+    reps, defs, row = levels_of_list(pa.array([["a", None], None, [], ["b"]]).slice(0, 4))
+    assert (reps.tolist(), defs.tolist(), row.tolist()) == ([0, 1, 0, 0, 0], [2, 1, 0, 0, 2], [0, 1, -1, -1, 2])
+    reps, defs, row = levels_of_list(pa.array([["x"], ["a", "b"], []]).slice(1, 2))
+    assert (reps.tolist(), defs.tolist(), row.tolist()) == ([0, 1, 0], [2, 2, 0], [1, 2, -1])
 
 
 def test_parents_and_fields():
-    rows = {r[1]: r for r in children({"conditions": [None, {"name": "a", "steps": [{"x": {"y": 1}}, "soak"]}]}, NAMES, "e")}
-    assert rows["e.conditions[1]"][2:4] == (None, 1) and rows["e.conditions[1].steps[0]"][2] == "e.conditions[1]"
-    assert rows["e.conditions[1].steps[0]"][4] == [("x.y", "1")] and rows["e.conditions[1].steps[1]"][4] == [("value", "soak")]
+    rows = {r[2]: r for r in children([{"conditions": [None, {"name": "a", "steps": [{"x": {"y": 1.50}, "ok": True}, "soak"]}]}], NAMES, "e")}
+    assert rows["e.conditions[1]"][3:5] == (None, 1) and rows["e.conditions[1].steps[0]"][3] == "e.conditions[1]" and rows["e.conditions[1].steps[0]"][1] == "e.conditions[].steps[]"
+    assert sorted(rows["e.conditions[1].steps[0]"][5]) == [("ok", "true"), ("x.y", "1.5")] and rows["e.conditions[1].steps[1]"][5] == [("value", "soak")]
+    top = {r[2]: r for r in children([[{"additives": "t"}], {"additives": []}, "text"], frozenset(["candidates", "additives"]), "candidates")}
+    assert set(top) == {"candidates[0]", "candidates[0].additives[0]"}
 
 
 def test_rows(spark):
