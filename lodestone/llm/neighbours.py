@@ -7,6 +7,8 @@ divided by a relaxation factor: 1 restores exact search, larger values visit les
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +20,10 @@ from pyspark.sql import types as T
 SAMPLE = 8192
 #: Vectors a shard is meant for, and a tree's leaf.
 SHARD, LEAF = 20_000, 256
-SCALE = 32767.0
+#: Questions that one task answers for a part of a shard, as a multiple of SHARD; more are sliced, and each slice gets the part.
+SLICE = 8
+#: How unit vectors travel: as they are if the search is to be exact, else as 32-bit numbers (the error of a distance is below 1e-7). All scores are computed from 64-bit numbers.
+EXACT, SHORT, SLACK = "<f8", "<f4", 2e-7
 
 
 class VantageTree:
@@ -102,7 +107,7 @@ class Best:
     """The k highest (score, id) of each query so far, ties to the lower id."""
 
     def __init__(self, count: int, k: int):
-        self.scores = np.full((count, k), -2.0, np.float32)
+        self.scores = np.full((count, k), -2.0)
         self.ids = np.full((count, k), np.iinfo(np.int64).max, np.int64)
 
     def offer(self, rows: np.ndarray, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -160,8 +165,11 @@ def search(tree: VantageTree, ids: np.ndarray, queries: np.ndarray, query_ids: n
 
 
 def relaxed_radius(kth: np.ndarray, factor: float) -> np.ndarray:
-    """The pruning radius of queries whose k-th best score so far is ``kth``; without bound while they have fewer than k."""
-    return np.where(kth < -1.5, 4.0, chord(np.maximum(kth, -1.0)) / factor)
+    """The pruning radius of queries whose k-th best score so far is ``kth``; without bound while they have fewer than k.
+
+    SLACK is more than the distances in a tree can be off, so rounding prunes nothing.
+    """
+    return np.where(kth < -1.5, 4.0, chord(np.maximum(kth, -1.0)) / factor + SLACK)
 
 
 class _Radii:
@@ -189,55 +197,77 @@ def units_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[usable], matrix / np.linalg.norm(matrix, axis=1)[:, None]
 
 
-def packed(units: np.ndarray) -> pa.Array:
-    """Unit vectors as 16-bit fixed point, one binary a row: the error of a cosine stays near 1e-5."""
-    data = np.round(units * SCALE).astype("<i2")
-    return pa.array([row.tobytes() for row in data], pa.binary())
+def packed(units: np.ndarray, kind: str) -> pa.Array:
+    """Unit vectors, one binary a row."""
+    data = np.ascontiguousarray(units, kind)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * data.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
 
+def unpacked(column, size: int, kind: str) -> np.ndarray:
+    """The unit vectors of a binary column without nulls."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size).astype(np.float64)
+    return raw if kind == EXACT else raw / np.linalg.norm(raw, axis=1)[:, None]
 
-def unpacked(column, size: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, size).astype(np.float32)
-    return raw / np.maximum(np.linalg.norm(raw, axis=1), 1e-9)[:, None]
 
+def grouped(rows: list[np.ndarray], labels: list[int], count: int, dtype) -> pa.Array:
+    """For each of ``count`` rows the list of the labels under which it was named."""
+    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    what = np.repeat(np.array(labels, np.int64), [len(r) for r in rows]) if rows else at
+    order = np.argsort(at, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=count))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(what[order], dtype))
 
-def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor: float = 4.0, shard: int = SHARD) -> DataFrame:
+
+def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor: float = 4.0, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """(``key``, neighbour, cosine): the ``k`` most similar other vectors of every usable vector.
 
     Usable: ``size`` finite numbers, not all zero, unique ``key``; others neither ask nor answer. Ties
     and repeated vectors under other keys count as neighbours (ties in any order); fewer than k others
-    give fewer rows; an empty table none. ``factor`` 1 is exact; the default reaches a recall above 0.98 on
-    this project's vectors. Only the two columns are read.
+    give fewer rows; an empty table none. ``factor`` 1 is exact, and vectors then travel as they are;
+    the default reaches a recall above 0.98 on this project's vectors. Only the two columns are read.
 
-    Every vector goes to one shard of the top tree, fitted on at most ``SAMPLE`` vectors; shards above
-    twice their size are salted into parts. Each shard answers its own vectors; those whose relaxed
-    ball leaves the shard ask the other shards it touches.
+    Every vector goes to one shard of the top tree, fitted on ``sample`` vectors at most, those of the
+    lowest hashes of their keys; shards above twice their size are salted into parts. Each shard
+    answers its own vectors; those whose relaxed ball leaves the shard ask the other shards it
+    touches. The questions to a part are sliced where they are many.
     """
     from lodestone.session import cut_lineage
 
-    own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == size)
-    total = df.count()
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("unit", T.BinaryType())])
-    picked = own.sample(min(1.0, 1.3 * SAMPLE / max(total, 1)), seed=11).limit(SAMPLE).toArrow()
-    _, sample = units_of(picked.column("v"), size)
-    top = VantageTree(sample.astype(np.float32), max(1, -(-len(sample) * shard // max(total, 1)))) if len(sample) else None
+    kind = EXACT if factor <= 1 else SHORT
+    own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == size) & F.col("id").isNotNull())
+    total = own.count()
+    picked = own.orderBy(F.xxhash64("id", F.lit(11))).limit(sample).toArrow()
+    _, fitted = units_of(picked.column("v"), size)
+    top = VantageTree(fitted, max(1, -(-len(fitted) * shard // max(total, 1)))) if len(fitted) else None
     shards = {number: i for i, number in enumerate(top.leaves())} if top else {0: 0}
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("unit", T.BinaryType())])
+
+    def homes(units: np.ndarray) -> pa.Array:
+        return pa.array([shards[n] for n in top.homes(units).tolist()] if top else [0] * len(units), pa.int32())
 
     def route(batches):
         for batch in batches:
             rows, units = units_of(batch.column(1), size)
-            if not len(rows):
-                continue
-            units = units.astype(np.float32)
-            at = [shards[n] for n in top.homes(units).tolist()] if top else [0] * len(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(at, pa.int32()), packed(units)], names=out.fieldNames())
-
-    routed = cut_lineage(own.mapInArrow(route, out))
-    counts = {r["shard"]: r["count"] for r in routed.groupBy("shard").count().collect()}
-    parts = {s: -(-n // (2 * shard)) for s, n in counts.items()}
-    split = F.create_map(*[F.lit(x) for s, n in parts.items() if n > 1 for x in (s, n)]) if any(n > 1 for n in parts.values()) else None
-    n_parts = F.coalesce(F.try_element_at(split, F.col("shard")), F.lit(1)) if split is not None else F.lit(1)
-    points = routed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
-    found = T.StructType([*out.fields, T.StructField("part", T.IntegerType()), T.StructField("kth", T.FloatType()), T.StructField("targets", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.FloatType()))])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), homes(units), packed(units, kind)], names=out.fieldNames())
+
+    def counted(batches):
+        for batch in batches:
+            numbers = homes(units_of(batch.column(1), size)[1]).value_counts()
+            yield pa.RecordBatch.from_arrays([numbers.field(0), numbers.field(1)], names=["shard", "n"])
+
+    def sums(rows: DataFrame) -> dict[int, int]:
+        return {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+
+    def of_shard(numbers: dict[int, int]):
+        """A column: the number that ``numbers`` has for the shard (there are at most ``sample`` shards), else 1."""
+        return F.get(F.from_json(F.lit(json.dumps([max(1, numbers.get(i, 1)) for i in range(len(shards))])), "array<int>"), F.col("shard"))
+
+    routed = own.mapInArrow(route, out)
+    parts = {s: -(-n // (2 * shard)) for s, n in sums(own.mapInArrow(counted, "shard int, n bigint")).items()}
+    points = routed.withColumn("part", F.pmod(F.xxhash64("id"), of_shard(parts)).cast("int"))
+    found = T.StructType([*out.fields, T.StructField("part", T.IntegerType()), T.StructField("kth", T.DoubleType()), T.StructField("targets", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
     def groups(batches):
         """(shard, part, table) of each run of rows; a shard's points are few by construction."""
@@ -263,58 +293,55 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 5, factor:
 
     def at_home(batches):
         for (number, part), table in groups(batches):
-            ids, units = table.column("id").to_numpy(), unpacked(table.column("unit"), size)
+            ids, units = table.column("id").to_numpy(), unpacked(table.column("unit"), size, kind)
             tree = VantageTree(units, LEAF)
             best = search(tree, ids[tree.order], units, ids, k, factor)
             kth = best.scores[:, -1]
-            radius = relaxed_radius(kth, factor)
-            targets: list[list[int]] = [[] for _ in ids]
-            if top:
-                for leaf, rows in top.reached(units, radius):
-                    for row in rows.tolist():
-                        targets[row].append(shards[leaf])
-            lists = listed(best, np.full(len(ids), -2.0, np.float32))
-            asking = pa.array([any(t != number for t in own) or parts[number] > 1 for own in targets])
+            named = [(shards[leaf], rows) for leaf, rows in top.reached(units, relaxed_radius(kth, factor)) if shards[leaf] != number or parts[number] > 1] if top else []
+            targets = grouped([rows for _, rows in named], [leaf for leaf, _ in named], len(ids), pa.int32())
+            asking = pc.greater(pc.list_value_length(targets), 0)
             vectors = pc.if_else(asking, table.column("unit").combine_chunks(), pa.scalar(None, pa.binary()))
-            whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number, np.int32)), vectors, pa.array(np.full(len(ids), part, np.int32)), pa.array(kth), pa.array(targets, pa.list_(pa.int32())), *lists], names=found.fieldNames())
+            lists = listed(best, np.full(len(ids), -2.0))
+            whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number, np.int32)), vectors, pa.array(np.full(len(ids), part, np.int32)), pa.array(kth), targets, *lists], names=found.fieldNames())
             for a in range(0, len(ids), 4096):
                 yield whole.slice(a, 4096)
 
     first = cut_lineage(points.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(at_home, found))
-    spread = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.FloatType()))])
+    slices = {s: -(-n // (SLICE * shard)) for s, n in sums(first.select(F.explode("targets").alias("shard"), F.lit(1).alias("n"))).items()}
+    spread = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
     asked = first.select("id", "unit", "kth", F.col("shard").alias("home"), F.col("part").alias("home_part"), F.explode("targets").alias("shard"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1))).where("shard <> home or part <> home_part")
-    asked = asked.select("shard", "part", F.lit(1).alias("kind"), "id", "unit", "kth")
-    held = points.select("shard", "part", F.lit(0).alias("kind"), "id", "unit", F.lit(None).cast("float").alias("kth"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), of_shard(parts) - 1))).where("shard <> home or part <> home_part")
+    asked = asked.select("shard", "part", F.pmod(F.xxhash64("id", F.lit(5)), of_shard(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), "id", "unit", "kth")
+    held = points.select("shard", "part", F.explode(F.sequence(F.lit(0), of_shard(slices) - 1)).alias("slice"), F.lit(0).alias("kind"), "id", "unit", F.lit(None).cast("double").alias("kth"))
 
     def elsewhere(batches):
         tree, ids, now, gathered = None, None, None, []
         for batch in batches:
-            code = np.stack([batch.column(c).to_numpy() for c in ("shard", "part", "kind")]) if batch.num_rows else np.zeros((3, 0))
+            code = np.stack([batch.column(c).to_numpy() for c in ("shard", "part", "slice", "kind")]) if batch.num_rows else np.zeros((4, 0))
             cuts = [0, *(np.flatnonzero(np.any(code[:, 1:] != code[:, :-1], axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if now != (code[0, a], code[1, a]):
-                    now, gathered, tree = (code[0, a], code[1, a]), [], None
-                if code[2, a] == 0:
+                if now != tuple(code[:3, a]):
+                    now, gathered, tree = tuple(code[:3, a]), [], None
+                if code[3, a] == 0:
                     gathered.append(part)
                     continue
                 if tree is None:
                     if not gathered:
                         continue
                     stock = pa.Table.from_batches(gathered)
-                    tree = VantageTree(unpacked(stock.column("unit"), size), LEAF)
+                    tree = VantageTree(unpacked(stock.column("unit"), size, kind), LEAF)
                     ids, gathered = stock.column("id").to_numpy()[tree.order], []
                 kth = part.column("kth").to_numpy()
                 asking = part.column("id").to_numpy()
-                best = search(tree, ids, unpacked(part.column("unit"), size), asking, k, factor, kth)
+                best = search(tree, ids, unpacked(part.column("unit"), size, kind), asking, k, factor, kth)
                 lists = listed(best, kth)
                 some = pa.array(np.diff(lists[0].offsets.to_numpy()) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(asking), *lists], names=spread.fieldNames()).filter(some)
 
-    second = held.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(elsewhere, spread)
+    second = held.unionByName(asked).repartition("shard", "part", "slice").sortWithinPartitions("shard", "part", "slice", "kind").mapInArrow(elsewhere, spread)
     every = first.select("id", "ids", "scores").unionByName(second).where(F.size("ids") > 0)
     each = every.select("id", F.explode(F.arrays_zip("scores", "ids")).alias("n"))
     ranked = each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n.scores")).alias("s"), F.col("n.ids").alias("i")))), 1, k).alias("best"))

@@ -78,6 +78,11 @@ def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "points", "vec_no", "vector"), "vec_no", "vector", 64)
 
 
+def p5_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of p5_found by a search with factor 1, which is exact."""
+    return neighbours.neighbour_pairs(table(spark, folder, "points", "vec_no", "vector"), "vec_no", "vector", 64, factor=1.0)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -106,7 +111,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p5_exact": p5_exact, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
@@ -122,4 +127,9 @@ ORACLES: dict[str, str] = {
          n AS (SELECT f, k, count(*) AS n FROM w GROUP BY ALL),
          i AS (SELECT a.f, a.k AS ka, b.k AS kb, count(*) AS i FROM w a JOIN w b ON a.f = b.f AND a.word = b.word AND a.k < b.k GROUP BY ALL)
         SELECT i.f AS field_name, ka AS key_a, kb AS key_b FROM i JOIN n x ON x.f = i.f AND x.k = ka JOIN n y ON y.f = i.f AND y.k = kb WHERE i >= 0.75 * (x.n + y.n - i)""",
+    "p5_exact": """
+        WITH u AS (SELECT vec_no, vector FROM points WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+         s AS (SELECT a.vec_no AS a, b.vec_no AS b, list_cosine_similarity(a.vector, b.vector) AS c FROM u a JOIN u b ON a.vec_no <> b.vec_no),
+         r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+        SELECT DISTINCT least(a, b) AS vec_no_a, greatest(a, b) AS vec_no_b FROM r WHERE k <= 5""",
 }

@@ -28,7 +28,7 @@ def test_tree(factor, least):
     assert np.mean([len(t & set(b)) / 5 for t, b in zip(truth(units, 5), best.ids.tolist())]) >= least
 
 
-@pytest.mark.parametrize("factor, least", [(1.0, 0.995), (4.0, 0.95)])
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (4.0, 0.95)])
 def test_shards(spark, factor, least):
     vectors = clustered()
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], KIND)
@@ -37,6 +37,23 @@ def test_shards(spark, factor, least):
     assert got.map(len).eq(5).all()
 
 
+@pytest.mark.parametrize("noise, factor, least", [(1e-3, 1.0, 1.0), (1e-6, 1.0, 0.999), (1e-3, 4.0, 0.9)])  # at 1e-6 the cosines of brute force are themselves rounded
+def test_half_of_all_vectors_near_one_another(spark, noise, factor, least):
+    draw = np.random.default_rng(6)
+    vectors = np.concatenate([draw.normal(size=16) + noise * draw.normal(size=(700, 16)), draw.normal(size=(700, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], KIND)
+    got = nearest(df, "k", "v", 16, 5, factor, shard=150).toPandas().groupby("k").neighbour.apply(set)
+    assert np.mean([len(t & got[i]) / 5 for i, t in enumerate(truth(vectors, 5))]) >= least
+
+
+def test_sliced_questions(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.neighbours.SLICE", 1)
+    vectors = clustered()
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], KIND)
+    got = nearest(df, "k", "v", 16, 5, 1.0, shard=60).toPandas().groupby("k").neighbour.apply(set)
+    assert [got[i] for i in range(len(vectors))] == truth(vectors, 5)
+
+
 def test_hot_vector_and_unusable_ones(spark):
     rows = [(i, [1.0, 0.0, 0.0], 0) for i in range(300)] + [(1000, None, 0), (1001, [], 0), (1002, [0.0, 0.0, 0.0], 0), (1003, [1.0, 2.0], 0), (1004, [1.0, None, 0.0], 0), (1005, [float("nan"), 1.0, 1.0], 0), (1006, [0.0, 5.0, 0.0], 0)]
     got = nearest(spark.createDataFrame(rows, KIND), "k", "v", 3, 5, shard=40).toPandas()
