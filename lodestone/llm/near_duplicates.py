@@ -1,9 +1,10 @@
 """Groups of records that share most of their words.
 
-Exact copies are folded first. Each remaining word set gets MinHash samples; bands of samples of its
-rarer words name candidate pairs, odd sketches (the parity bitmap of the samples of the whole set)
-discard most of them inside the join by the population count of their XOR, and the sets themselves
-decide the rest.
+Exact copies are folded first. Candidate pairs share a bucket: a band of one sample over their rarest
+words, taken to the limit of all samples, which are these words themselves and miss no pair; or,
+where such words are in too many sets, a band of several MinHash samples. Odd sketches (the parity
+bitmap of the MinHash samples of the whole set) discard most candidates inside the join by the
+population count of their XOR, and the sets themselves decide the rest.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ from lodestone.session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 #: MinHash samples folded into a sketch, and its bits.
 SAMPLES, BITS = 128, 256
-#: A word is common if it is in this share of the sets or more (about; see _common_words).
-COMMON = 0.001
-#: Bands of one sample each over a set's rarer words; bands x samples over all words of sets with few rarer ones.
-RARE_BANDS, ALL_BANDS = 64, (64, 6)
-#: Rarer words beyond those that a partner at the threshold can lack (1 - threshold of the set, all inserted on its side), in
-#: number and as a share of the set's rarer words, below which a set also gets the bands over all words. Any partner then has
-#: the share of both sets' rarer words in common, so that RARE_BANDS samples miss it once in a million.
-SPARE, SPARE_SHARE = 3.0, 0.2
+#: A word is hot if it is in more sets than this (and than LOADS times the mean load of the count table's slots).
+HOT, LOADS = 512, 4
+#: Slots of the table of word counts: so many that the mean load is LOAD, but between these powers of two (four bytes each, so 16 MB at most).
+LOAD, SLOTS = 32, (16, 22)
+#: Bands x samples over the hot words of sets that need them, and bits of the bitmap of the poor sets' bands (2 MB).
+HOT_BANDS, BITMAP = (64, 6), 1 << 24
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -62,14 +61,6 @@ def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _unmixed(values: np.ndarray, number: int) -> np.ndarray:
-    """The inverse of :func:`_mixed`, which is a permutation."""
-    back = lambda n: np.uint64(pow(int(_MULTIPLY[n % 1024]), -1, 2**64))
-    x = (values ^ (values >> np.uint64(32))) * back(number * 7 + 3)
-    x ^= (x >> np.uint64(29)) ^ (x >> np.uint64(58))
-    return x * back(number)
-
-
 def _minima(words: np.ndarray, starts: np.ndarray, first: int, count: int) -> np.ndarray:
     """``count`` MinHash samples (count x sets) of the non-empty sets that begin at ``starts``."""
     return np.stack([np.minimum.reduceat(_mixed(words, first + i), starts) for i in range(count)]) if len(starts) else np.zeros((count, 0), np.uint64)
@@ -109,11 +100,6 @@ def _bands(minima: np.ndarray, bands: int, rows: int, field: int) -> np.ndarray:
     return out
 
 
-def _single_bands(minima: np.ndarray, first: int, field: int) -> np.ndarray:
-    """(bands x sets) hashes of bands of one sample: of the sampled word, so that all bands share their buckets."""
-    return np.stack([_mixed(_unmixed(sample, first + i) ^ np.uint64(field + 1), 901) for i, sample in enumerate(minima)])
-
-
 def fold_copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``items`` (field, id, text, is_json) as (members: field, id, rid) and (sets: rid, field, words), one set a distinct content.
 
@@ -159,77 +145,129 @@ def fold_copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, sets.select("rid", "field", "words")
 
 
-def _common_words(sets: DataFrame) -> dict[str, np.ndarray]:
-    """Of each field the words that are in about COMMON of its sets or more, sorted.
+def _slots(words: np.ndarray, field: int, slots: int) -> np.ndarray:
+    return (_mixed(words ^ np.uint64(field + 1), 902) >> np.uint64(8)) % np.uint64(slots)
 
-    A batch reports the words in COMMON / 2 of its own sets (at least five), so it reports a bounded
-    number, and so does the whole: the words whose reports add up to COMMON / 2 of all sets.
-    """
-    kind = T.StructType([T.StructField("field", T.StringType()), T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
+
+def _word_counts(sets: DataFrame, fields: list[str]) -> tuple[np.ndarray, int]:
+    """(counts by slot, least count of a hot word): in how many sets the words of a slot are. A word counts its slot's total, never less than its own."""
+    total = sets.agg(F.sum(F.size("words"))).collect()[0][0] or 0
+    slots = 1 << min(max(SLOTS[0], math.ceil(math.log2(max(total / LOAD, 1)))), SLOTS[1])
 
     def work(batches):
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
-            fields = np.array(batch.column(0).to_pylist())
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            words = lists.flatten().to_numpy()
-            for field in np.unique(fields):
-                mine = fields == field
-                values, counts = np.unique(words[np.repeat(mine, sizes)], return_counts=True)
-                often = counts >= max(5, COMMON / 2 * mine.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([field] * int(often.sum()), pa.string()), pa.array(values[often]), pa.array(counts[often].astype(np.int64))], names=kind.fieldNames())
-
-    totals = {r["field"]: r["count"] for r in sets.groupBy("field").count().collect()}
-    least = F.lit(None).cast("double")
-    for field, total in totals.items():
-        least = F.when(F.col("field") == field, max(5.0, COMMON / 2 * total)).otherwise(least)
-    often = sets.select("field", "words").mapInArrow(work, kind).groupBy("field", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    fields, words = np.array(often.column("field").to_pylist()), often.column("word").to_numpy().view(np.uint64)
-    return {field: np.sort(words[fields == field]) for field in totals}
+            names, lists = np.array(batch.column(0).to_pylist()), batch.column(1)
+            words, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+            for number, field in enumerate(fields):
+                counts += np.bincount(_slots(words[np.repeat(names == field, sizes)], number, slots).astype(np.int64), minlength=slots)
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+
+    rows = sets.select("field", "words").mapInArrow(work, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(slots, np.uint32)
+    table[rows.column("slot").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 2**32 - 1)
+    return table, max(HOT, LOADS * total // slots)
+
+
+class _Sets:
+    """Some sets of one field: their words from the rarest on, and what they need to meet their partners.
+
+    The rarest word that two sets of the threshold share is among the first ``size - threshold * size
+    + 1`` of either (the prefix). If it is not hot, both are in its bucket. If it is, they share hot
+    words only, so all others lie outside; of such a pair at least one set is poor: it has at most
+    (1 - threshold) / (1 + threshold) of its words that are not hot.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, field: int, table: np.ndarray, hot: int, threshold: float):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        counts = table[_slots(words, field, len(table)).astype(np.int64)]
+        order = np.lexsort((words, counts, owner))
+        self.words, self.owner, self.field = words[order], owner, field
+        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        is_hot = counts[order] > hot
+        prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+        leading = np.arange(len(words)) - self.starts[owner] < prefix[owner]
+        self.rare_leading, self.is_hot = leading & ~is_hot, is_hot
+        self.needs_bands = np.bincount(owner[leading & is_hot], minlength=len(sizes)) > 0
+        self.poor = np.bincount(owner[~is_hot], minlength=len(sizes)) <= (1 - threshold) / (1 + threshold) * sizes + 1e-9
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, set) for the rare words of the prefixes."""
+        return _mixed(self.words[self.rare_leading] ^ np.uint64(self.field + 1), 901), self.owner[self.rare_leading]
+
+    def bands(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, set) for the bands over the hot words of the ``chosen`` sets, band by band."""
+        kept = self.is_hot & chosen[self.owner]
+        sizes = np.bincount(self.owner[kept], minlength=len(chosen))[chosen]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        bands, rows = HOT_BANDS
+        return _bands(_minima(self.words[kept], starts, 300, bands * rows), bands, rows, self.field).reshape(-1), np.tile(np.flatnonzero(chosen), bands)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(rid_a, rid_b): the pairs of different ``sets`` of one field whose shared words are at least ``threshold`` of all their words."""
-    common = _common_words(sets)
-    kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("rid", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(BITS // 64)]])
+    """(rid_a, rid_b): the pairs of different ``sets`` of one field whose shared words are at least ``threshold`` of all their words.
 
-    def emit(bands: np.ndarray, rid: np.ndarray, sketch: np.ndarray):
-        columns = [bands.view(np.int64), rid, *[np.ascontiguousarray(sketch[:, i]).view(np.int64) for i in range(sketch.shape[1])]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=kind.fieldNames())
+    Candidates share a bucket: a rare word of both prefixes (exact), or, where the shared words are
+    all hot, a band of MinHash samples of the hot words. Of the latter pairs one set is poor
+    (:class:`_Sets`), so the others send only the bands that some poor set has, by a bitmap of fixed
+    size. Buckets of rare words hold at most the least count of a hot word.
+    """
+    context = sets.sparkSession.sparkContext
+    fields = sorted(r["field"] for r in sets.select("field").distinct().collect())
+    table, hot = _word_counts(sets, fields)
+    counts = context.broadcast(table)
+    kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("rid", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(BITS // 64)]])
 
-    def work(batches):
+    def parts(batches):
+        """(rids, sets, words, starts) of the sets of one field, some at a time."""
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
-                rids, fields, lists = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist()), batch.column(2)
-                for number, field in enumerate(sorted(common)):
-                    mine = np.flatnonzero(fields == field)
-                    if not len(mine):
-                        continue
-                    picked = lists.take(pa.array(mine))
-                    sizes = np.diff(picked.offsets.to_numpy())
-                    words = picked.flatten().to_numpy().view(np.uint64)
-                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                    sketch = odd_sketches(_minima(words, starts, 0, SAMPLES))
-                    at = np.searchsorted(common[field], words)
-                    rare = np.ones(len(words), bool) if not len(common[field]) else common[field][np.minimum(at, len(common[field]) - 1)] != words
-                    n_rare = np.add.reduceat(rare.astype(np.int64), starts)
-                    having = np.flatnonzero(n_rare > 0)
-                    if len(having):
-                        rare_starts = np.concatenate([[0], np.cumsum(n_rare[having])[:-1]]).astype(np.int64)
-                        samples = np.sort(_single_bands(_minima(words[rare], rare_starts, 200, RARE_BANDS), 200, number), axis=0)
-                        fresh = np.ones(samples.shape, bool)
-                        fresh[1:] = samples[1:] != samples[:-1]
-                        at = np.nonzero(fresh)[1]
-                        yield emit(samples[fresh], rids[mine][having][at], sketch[having][at])
-                    few = n_rare - (1 - threshold) * sizes < np.maximum(SPARE, SPARE_SHARE * n_rare)
-                    if few.any():
-                        few_starts = np.concatenate([[0], np.cumsum(sizes[few])[:-1]]).astype(np.int64)
-                        bands, rows = ALL_BANDS
-                        hashes = _bands(_minima(words[np.repeat(few, sizes)], few_starts, 300, bands * rows), bands, rows, number)
-                        yield emit(hashes.reshape(-1), np.tile(rids[mine][few], bands), np.tile(sketch[few], (bands, 1)))
-
-    banded = sets.select("rid", "field", "words").mapInArrow(work, kind)
+                rids, names, lists = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist()), batch.column(2)
+                for number, field in enumerate(fields):
+                    mine = np.flatnonzero(names == field)
+                    if len(mine):
+                        picked = lists.take(pa.array(mine))
+                        words, sizes = picked.flatten().to_numpy().view(np.uint64), np.diff(picked.offsets.to_numpy()).astype(np.int64)
+                        yield rids[mine], _Sets(words, sizes, number, counts.value, hot, threshold), words, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+    def mark(batches):
+        bits = np.zeros(BITMAP // 64, np.uint64)
+        for _, some, _, _ in parts(batches):
+            chosen = some.needs_bands & some.poor
+            if chosen.any():
+                at = some.bands(chosen)[0] % np.uint64(BITMAP)
+                np.bitwise_or.at(bits, (at // np.uint64(64)).astype(np.int64), np.uint64(1) << (at % np.uint64(64)))
+        used = np.flatnonzero(bits)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], names=["at", "bits"])
+
+    own = sets.select("rid", "field", "words")
+    marks = own.mapInArrow(mark, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP // 64, np.uint64)
+    bitmap[marks.column("at").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    poor_bands = context.broadcast(bitmap if marks.num_rows else None)
+
+    def work(batches):
+        there = poor_bands.value
+        for rids, some, words, starts in parts(batches):
+            sketch = odd_sketches(_minima(words, starts, 0, SAMPLES))
+            found = [some.buckets()]
+            if there is not None:
+                if (poor := some.needs_bands & some.poor).any():
+                    found.append(some.bands(poor))
+                if (rest := some.needs_bands & ~some.poor).any():
+                    bands, at = some.bands(rest)
+                    slot = bands % np.uint64(BITMAP)
+                    met = (there[(slot // np.uint64(64)).astype(np.int64)] >> (slot % np.uint64(64))) & np.uint64(1) > 0
+                    found.append((bands[met], at[met]))
+            bands, at = (np.concatenate(x) for x in zip(*found))
+            columns = [bands.view(np.int64), rids[at], *[np.ascontiguousarray(sketch[at, i]).view(np.int64) for i in range(sketch.shape[1])]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=kind.fieldNames())
+
+    banded = own.mapInArrow(work, kind)
     differing = None
     for i in range(BITS // 64):
         bits = F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")))
