@@ -24,12 +24,13 @@ from lodestone.session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 #: MinHash samples folded into a sketch, and its bits.
 SAMPLES, BITS = 128, 256
-#: A word is hot if it is in more sets than this (and than LOADS times the mean load of the count table's slots).
-HOT, LOADS = 512, 4
+#: A word is hot if it is in more sets than this (and than LOADS times the mean load of the count table's slots). So many comparisons
+#: of sketches cost about what the 64 bands do that a set needs beside hot words: 384 samples of all its words and 3 KB to be moved.
+HOT, LOADS = 2048, 4
 #: Slots of the table of word counts: so many that the mean load is LOAD, but between these powers of two (four bytes each, so 16 MB at most).
 LOAD, SLOTS = 32, (16, 22)
-#: Bands x samples over the hot words of sets that need them, and bits of the bitmap of the poor sets' bands (2 MB).
-HOT_BANDS, BITMAP = (64, 6), 1 << 24
+#: Bands x samples over the hot words of sets that need them, and bits of the bitmap of the poor sets' bands (8 MB).
+HOT_BANDS, BITMAP = (64, 6), 1 << 26
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

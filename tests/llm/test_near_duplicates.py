@@ -36,7 +36,7 @@ def brute(rows, threshold=0.75):
     return pairs
 
 
-@pytest.fixture(params=[512, 30, 3])
+@pytest.fixture(params=[2048, 30, 3])
 def hot(request, monkeypatch):
     """Words in more sets than this are hot."""
     monkeypatch.setattr("lodestone.llm.near_duplicates.HOT", request.param)
