@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: Vectors from which the top tree is fitted; the index itself holds every vector.
 SAMPLE = 8192
 #: Vectors a shard is meant for, and a tree's leaf.
-SHARD, LEAF = 20_000, 256
+SHARD, LEAF = 40_000, 256
 #: Questions that one task answers for a part of a shard, as a multiple of SHARD; more are sliced, and each slice gets the part.
 SLICE = 8
 #: How unit vectors travel: as they are if the search is to be exact, else as 32-bit numbers (the error of a distance is below 1e-7). All scores are computed from 64-bit numbers.
