@@ -102,13 +102,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents", "doc_id", "text", "source", "source_pdf")
-    return residue.find_residue(documents, "doc_id", "text", "source", "source_pdf").select("doc_id")
+    documents = table(spark, folder, "documents", "doc_id", "text", "source", "source_pdf", "lang")
+    return residue.find_residue(documents, "doc_id", "text", "source", "source_pdf", "lang").select("doc_id")
 
 
 def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without residue."""
-    return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf").select("doc_id", "text", "lang", "source")
+    return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf", "lang").select("doc_id", "text", "lang", "source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p5_exact": p5_exact, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}

@@ -51,18 +51,26 @@ TRIGGERS = (
 )
 WORDS = re.compile(r"[^\W\d_]{3,}")
 HAN = re.compile(r"[\u3400-\u9fff]")
+#: Letters of scripts that are written without spaces.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 #: Parts of an address that say nothing about the document.
 ADDRESS_PARTS = frozenset(("pdf", "html", "htm", "www", "http", "https", "com", "org"))
 PARAGRAPHS = re.compile(r"\n\s*\n")
 SEGMENTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
-#: Words in a lexicon occur in this share of the documents at least, and in LEAST of them: so a lexicon has at most words-a-document / share entries.
-KNOWN_SHARE, TOPIC_SHARE, LEAST = 0.002, 0.02, 3
+#: A language has a lexicon if it has this share of the documents and so many of them; its words are in KNOWN_SHARE of its documents at
+#: least, topical ones in TOPIC_SHARE. So there are at most 1 / LANGUAGE_SHARE lexicons of (words a document / KNOWN_SHARE) words.
+LANGUAGE_SHARE, LANGUAGE_LEAST, KNOWN_SHARE, TOPIC_SHARE, LEAST = 0.001, 20, 0.002, 0.02, 3
+#: A paragraph of FILLER_WORDS or more is made-up if under FILLER_KNOWN of its words are in any lexicon; running text has several times that in function words alone.
+FILLER_WORDS, FILLER_KNOWN, COVERED = 10, 0.1, 0.9
 #: Words of running text beside a message from which on the document is a text that speaks of such things.
 REAL_WORDS = 40
 #: Words beside a message that begins its text, up to which it stands alone.
 ALONE_WORDS = 12
 #: Words of a first line that can be a title.
 TITLE_WORDS = 20
+#: Characters from which on a text without any trigger has too many words to be an unknown message: words of three letters or more
+#: are at least every fifteenth of the characters of running text, two Chinese characters count as a word.
+LONG = 15 * (REAL_WORDS + TITLE_WORDS)
 
 EVIDENCE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("host", T.StringType()), T.StructField("slug", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("body", T.StringType()), T.StructField("rest", T.IntegerType()), T.StructField("mismatch", T.BooleanType())])
 
@@ -102,45 +110,62 @@ def unlike(before: str, after: str, slug: str | None, rest: int) -> bool:
     return not subject & terms_of(after) if subject else rest <= ALONE_WORDS
 
 
-def lexicons(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
-    """(known, topical): the words of at least KNOWN_SHARE and TOPIC_SHARE of all texts. Their number is bounded by the shares."""
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}{3,})"), 1))).alias("word"))
-    total = df.where(F.col(text).isNotNull()).count()
-    known, topical = max(LEAST, KNOWN_SHARE * total), max(LEAST, TOPIC_SHARE * total)
-    rows = words.groupBy("word").count().where(F.col("count") >= known).collect()
-    return frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if r["count"] >= topical)
-
-
-def filler_words(paragraphs: list[str], plain_known: list[int], known: frozenset[str]) -> bool:
-    """Whether some paragraph of ten words or more is made of words that no other texts use.
-
-    ``plain_known``: the known words between spaces of each paragraph. A word takes four characters
-    with what parts it from the next, so many of these rule a paragraph out without reading its words.
-    """
-    for paragraph, least in zip(paragraphs, plain_known):
-        if least < 0.3 * (len(paragraph) + 1) / 4:
-            words = WORDS.findall(paragraph)
-            if len(words) >= 10 and sum(map(known.__contains__, words)) < 0.3 * len(words):
-                return True
-    return False
-
-
-def examine(text: str, known: frozenset[str], topical: frozenset[str], slug: str | None = None) -> tuple[str, str, int, bool] | None:
+class Lexicon:
+    """What is known of the corpus's languages: words of any, topical words of any, the languages themselves, and their letters."""
+
+    def __init__(self, known: frozenset[str], topical: frozenset[str], languages: frozenset[str]):
+        self.known, self.topical, self.languages = known, topical, languages
+        self.letters = frozenset(c for w in known for c in w if not UNSPACED.match(c))
+
+    def made_up(self, paragraphs: list[str], language: str | None) -> bool:
+        """Whether some paragraph is made of words that no language of the corpus has.
+
+        Only where the document's language has a lexicon, and for paragraphs in its letters: of other
+        languages and of scripts without spaces the lexicons say nothing, so such texts never count.
+        """
+        if (language or "") not in self.languages:
+            return False
+        for paragraph in paragraphs:
+            # a word takes four characters with what parts it from the next, so many known words settle it
+            if len(self.known.intersection(paragraph.split())) < FILLER_KNOWN * (len(paragraph) + 1) / 4:
+                words = WORDS.findall(paragraph)
+                if len(words) >= FILLER_WORDS and sum(map(self.known.__contains__, words)) < FILLER_KNOWN * len(words):
+                    letters = "".join(words)
+                    if sum(map(self.letters.__contains__, letters)) >= COVERED * len(letters):
+                        return True
+        return False
+
+
+def lexicons(df: DataFrame, text: str, language: str) -> Lexicon:
+    """The :class:`Lexicon` of all texts; what is collected is bounded by the shares above."""
+    rows = df.where(F.col(text).isNotNull()).select(F.coalesce(F.col(language), F.lit("")).alias("l"), F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}{3,})"), 1)).alias("w"))
+    per = rows.groupBy("l").count()
+    total = per.agg(F.sum("count")).collect()[0][0] or 0
+    counts = {r["l"]: r["count"] for r in per.where(F.col("count") >= max(LANGUAGE_LEAST, LANGUAGE_SHARE * total)).collect()}
+    if not counts:
+        return Lexicon(frozenset(), frozenset(), frozenset())
+    sizes = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("l"))
+    words = rows.where(F.col("l").isin(*counts)).select("l", F.explode("w").alias("word")).groupBy("l", "word").count()
+    often = words.withColumn("share", F.col("count") / sizes).where((F.col("count") >= LEAST) & (F.col("share") >= KNOWN_SHARE))
+    found = often.groupBy("word").agg(F.max("share").alias("share")).collect()
+    return Lexicon(frozenset(r["word"] for r in found), frozenset(r["word"] for r in found if r["share"] >= TOPIC_SHARE), frozenset(counts))
+
+
+def examine(text: str, lexicon: Lexicon, slug: str | None = None, language: str | None = None) -> tuple[str, str, int, bool] | None:
     """(kind, body, words beside the message, whether title or address and the rest share no term) of a suspicious text, else None."""
     if placeholders(text):
         return "placeholder", "", 0, True
     low = text.lower()
     paragraphs = PARAGRAPHS.split(low)
-    plain_known = [len([w for w in p.split() if w in known]) for p in paragraphs]
     told = any(t in low for t in TRIGGERS)
-    if not told and sum(plain_known) > 2 * REAL_WORDS + TITLE_WORDS:
-        return ("filler", "", 0, True) if filler_words(paragraphs, plain_known, known) else None
+    if not told and len(text) > LONG:
+        return ("filler", "", 0, True) if lexicon.made_up(paragraphs, language) else None
     segments = [s for s in SEGMENTS.split(text) if s.strip()]
     title = segments[0] if len(segments) > 1 and "\n" in text and not re.search(r"[.!?。！？]$", segments[0]) and 3 <= len(segments[0].split()) <= TITLE_WORDS else ""
     matches = [next(((k, m) for k, p in (("filler", FILLER), ("notice", NOTICE), ("error", ERROR)) if (m := p.search(s))), (None, None)) if told else (None, None) for s in segments]
     kinds = [(k, s) for (k, _), s in zip(matches, segments)]
     message = [(k, s) for k, s in kinds if k]
-    if not message and filler_words(paragraphs, plain_known, known):
+    if not message and lexicon.made_up(paragraphs, language):
         return "filler", "", 0, True
     body = [s for k, s in kinds if not k and s is not title]
     rest = sum(map(n_words, body))
@@ -156,30 +181,31 @@ def examine(text: str, known: frozenset[str], topical: frozenset[str], slug: str
         return message[0][0], plain(message[0][1]), rest, unlike(before, after, slug, rest)
     terms = terms_of("\n".join(s for _, s in kinds if s is not title))
     mismatch = not (terms_of(title) & terms)
-    if 3 <= rest <= REAL_WORDS and not terms & topical:
+    if 3 <= rest <= REAL_WORDS and not terms & lexicon.topical:
         return "unknown", " / ".join(sorted(plain(s) for s in body)), rest, mismatch
     return None
 
 
-def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> DataFrame:
+def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str, language: str) -> DataFrame:
     """(``key``, kind, n_slugs, n_hosts, score): the documents that hold residue instead of content.
 
     ``kind``: placeholder, filler, error, notice or unknown (a message no pattern knows). A placeholder
-    or filler anywhere is a case. A message is one if there is hardly any other text and its evidence
+    or filler anywhere is a case; filler is told by its phrases, or by words that no language of the
+    corpus has (:meth:`Lexicon.made_up`; never for languages or scripts without a lexicon). A message is one if there is hardly any other text and its evidence
     is 4 or more: the pattern (2), hardly any other text (1), the same message under several addresses
     or hosts (1), no term shared by title or address and the rest (1; the words before the message
     stand for a missing title, see :func:`unlike`). An unknown message needs the last three and five addresses. Null, empty and blank texts
     are no cases, nor are texts that mention such things in running text. Repeated keys give a row
     each time; null hosts and addresses are a value of their own. Only the named columns are read.
     """
-    own = df.select(F.col(key).cast("long").alias("doc"), F.col(host).cast("string").alias("host"), F.col(slug).cast("string").alias("slug"), F.col(text).alias("t"))
-    known, topical = lexicons(own, "t")
+    own = df.select(F.col(key).cast("long").alias("doc"), F.col(host).cast("string").alias("host"), F.col(slug).cast("string").alias("slug"), F.col(language).cast("string").alias("l"), F.col(text).alias("t"))
+    lexicon = lexicons(own, "t", "l")
 
     def work(batches):
         for batch in batches:
             rows = []
-            for doc, h, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = examine(t, known, topical, s) if t and not t.isspace() else None
+            for doc, h, s, l, t in zip(*(c.to_pylist() for c in batch.columns)):
+                found = examine(t, lexicon, s, l) if t and not t.isspace() else None
                 if found:
                     rows.append((doc, h, s, *found))
             if rows:
@@ -198,6 +224,6 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> Da
     return judged.withColumn("score", score).where(case).select(F.col("doc").alias(key), "kind", "n_slugs", "n_hosts", "score")
 
 
-def without_residue(df: DataFrame, key: str, text: str, host: str, slug: str) -> DataFrame:
+def without_residue(df: DataFrame, key: str, text: str, host: str, slug: str, language: str) -> DataFrame:
     """The rows of ``df`` that :func:`find_residue` does not name, with all their columns; null keys stay."""
-    return df.join(find_residue(df, key, text, host, slug).select(key).distinct(), key, "left_anti")
+    return df.join(find_residue(df, key, text, host, slug, language).select(key).distinct(), key, "left_anti")
