@@ -1,9 +1,9 @@
 """Readings in common units.
 
-A reading states its unit in ``unit`` or in its raw text; those are converted from the reading
-itself. What states none is resolved from its history: the readings of one source and quantity, in
-order, are segmented by exact penalised changepoint search on log values, and a segment of
-unstated readings whose level is off the source's level by the shift of a known unit has that unit.
+A reading states its unit in ``unit`` or in its raw text, or states none. The readings of one source
+and quantity, in order and as stated, are one history. It is segmented by exact penalised changepoint
+search on log values; a segment whose level is off the source's by the shift of a known unit was
+recorded in that unit: unstated readings get it, and stated ones are reversed to it.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from array import array
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +77,24 @@ def number(text: str | None) -> tuple[Decimal, str] | None:
     return Decimal(base).scaleb(int(power[0]) if power else 0), text[match.end() :]
 
 
+@lru_cache(200_000)
+def _scale(common: str, unit: str | None) -> tuple[Decimal, Decimal] | None:
+    return TABLE.get(common, {plain_unit(common): (Decimal(1), Decimal(0))}).get(plain_unit(unit))
+
+
+@lru_cache(64)
+def scales_of(common: str) -> list[tuple[Decimal, Decimal]]:
+    """The scales (factor, offset) that convert to ``common``, in order."""
+    return sorted(set(TABLE.get(common, {plain_unit(common): (Decimal(1), Decimal(0))}).values()))
+
+
 def stated(common: str, value: float | None, unit: str | None, raw: str | None) -> tuple[Decimal, Decimal, Decimal] | None:
     """(number, factor, offset) if the reading itself tells its number and a unit that converts to ``common``, else None."""
-    units = TABLE.get(common, {plain_unit(common): (Decimal(1), Decimal(0))})
-    scale = units.get(plain_unit(unit)) if unit else None
+    scale = _scale(common, unit) if unit else None
     told = number(raw)
     if scale is None and told:
         rest = told[1]
-        scale = units.get(plain_unit(rest)) or units.get(plain_unit(re.sub(r"\s*\((?!0-1)[^()]*\)\s*$", "", rest)))
+        scale = _scale(common, rest) or _scale(common, re.sub(r"\s*\((?!0-1)[^()]*\)\s*$", "", rest))
     if scale is None:
         return None
     amount = Decimal(repr(value)) if value is not None and math.isfinite(value) else told[0] if told else None
@@ -140,117 +150,149 @@ def changepoints(values: np.ndarray, penalty: float) -> list[int]:
     return ends[::-1]
 
 
-def assumed_units(common: str, values: np.ndarray, known: np.ndarray, level: tuple[float, float], tolerance: float = 0.7) -> list[tuple[Decimal, Decimal] | None]:
-    """For each reading that states no unit (not ``known``) the scale its segment's level shift tells, else None.
+#: A segment's level tells a scale if it then lies within TOLERANCE spreads (of HALF at least) of the source's, and under any other scale APART further off.
+TOLERANCE, HALF, APART = 0.7, 0.5, 1.0
+#: Stated readings are reversed only in segments of so many, all of one scale, whose level is so many spreads off that of the source's other stated readings, which are at least as many.
+REVERSED_LEAST, REVERSED_SPREADS = 5, 4.0
+
+
+def fitting(common: str, recorded: float, mean: float, spread: float) -> tuple[Decimal, Decimal] | None:
+    """The one scale under which the number ``recorded`` lies at the level ``mean`` (of logs), if there is one."""
+    off = []
+    for factor, offset in scales_of(common):
+        moved = recorded * float(factor) + float(offset)
+        off.append((abs(math.log(moved) - mean) if moved > 0 else math.inf, (factor, offset)))
+    off.sort(key=lambda x: x[0])
+    return off[0][1] if off and off[0][0] <= TOLERANCE * max(spread, HALF) and (len(off) == 1 or off[1][0] > off[0][0] + APART) else None
+
 
-    ``values``: in the common unit where known, as recorded elsewhere, in order. ``level``: mean and
-    spread of the log of the quantity's known readings, for histories that have under three of their
-    own. A scale is told if it alone brings the segment's level within ``tolerance`` spreads.
+def judged_units(common: str, values: np.ndarray, stated_as: np.ndarray, totals: tuple[float, float, float], level: tuple[float, float]) -> dict[int, tuple[Decimal, Decimal]]:
+    """The scale that its segment's level tells, by reading: for those that state none, and for those whose stated one it contradicts.
+
+    ``values``: in the common unit as stated, as recorded elsewhere, in order; ``stated_as``: the place
+    of the stated scale in :func:`scales_of`, -1 for none. ``totals``: number, sum and sum of squares of
+    the logs of all stated readings of the source; ``level``: mean and spread of those of the quantity
+    in all sources, for sources with under three of their own.
     """
-    out: list[tuple[Decimal, Decimal] | None] = [None] * len(values)
+    out: dict[int, tuple[Decimal, Decimal]] = {}
     usable = np.flatnonzero(np.isfinite(values) & (values > 0))
-    if len(usable) == 0 or known[usable].all():
+    if len(usable) == 0:
+        return out
+    logs, scale = np.log(values[usable]), stated_as[usable]
+    count, total, squares = totals
+    mean, spread = (total / count, max(math.sqrt(max(squares / count - (total / count) ** 2, 0.0)), 0.1)) if count >= 3 else level
+    if not math.isfinite(mean):
         return out
-    logs, is_known = np.log(values[usable]), known[usable]
-    own = logs[is_known]
-    mean, spread = (float(own.mean()), max(float(own.std()), 0.1)) if len(own) >= 3 else level
-    scales = sorted(set(TABLE.get(common, {}).values()))
     start = 0
     for end in changepoints(logs, 2 * spread**2 * math.log(len(logs) + 1)):
-        inside = np.arange(start, end)[~is_known[start:end]]
-        start = end
-        if len(inside) == 0 or not math.isfinite(mean):
-            continue
-        centre = float(np.exp(logs[inside].mean()))
-        off = []
-        for factor, offset in scales:
-            moved = centre * float(factor) + float(offset)
-            off.append((abs(math.log(moved) - mean) if moved > 0 else math.inf, (factor, offset)))
-        off.sort(key=lambda x: x[0])
-        if off[0][0] <= tolerance * max(spread, 0.5) and (len(off) == 1 or off[1][0] > off[0][0] + 1.0):
-            for i in inside:
-                out[usable[i]] = off[0][1]
+        inside, start = np.arange(start, end), end
+        bare = inside[scale[inside] < 0]
+        if len(bare) and (found := fitting(common, float(np.exp(logs[bare].mean())), mean, spread)):
+            out |= {int(usable[i]): found for i in bare}
+        known = inside[scale[inside] >= 0]
+        own = logs[known]
+        others = count - len(known)
+        if len(known) >= REVERSED_LEAST and others >= len(known) and (scale[known] == scale[known[0]]).all():
+            rest = (total - own.sum()) / others
+            apart = max(math.sqrt(max((squares - (own**2).sum()) / others - rest**2, 0.0)), 0.1)
+            if abs(own.mean() - rest) > max(APART, REVERSED_SPREADS * apart):
+                factor, offset = scales_of(common)[int(scale[known[0]])]
+                found = fitting(common, (float(np.exp(own.mean())) - float(offset)) / float(factor), float(rest), apart)
+                if found and found != (factor, offset):
+                    out |= {int(usable[i]): found for i in known}
     return out
 
 
-def to_common_units(readings: DataFrame, common: DataFrame) -> DataFrame:
+#: Readings of a history that one task segments; longer histories are cut into spans of equal time, each segmented exactly, all under the level of the whole history.
+SPAN = 1 << 18
+
+
+def to_common_units(readings: DataFrame, common: DataFrame, span: int = SPAN) -> DataFrame:
     """Every reading in its common unit.
 
     ``readings``: field_name, item_key, pos, quantity, source, seq (microseconds), value, unit, raw;
     ``common``: the rows of ``common_units`` (one a quantity, so it is broadcast). Result: field_name,
-    item_key, pos, quantity, how, exact, value_common, value_x100. ``how`` is ``stated``, ``history``
-    or ``unresolved`` (then the values are null); ``exact``: the stored value is in the common unit.
+    item_key, pos, quantity, how, exact, value_common, value_x100. ``how`` is ``stated`` (nothing in
+    the history speaks against the unit stated), ``reversed`` (the history contradicts it, and tells
+    another), ``history`` (none is stated, the history tells one) or ``unresolved`` (then the values
+    are null); ``exact``: the stored value is in the common unit.
 
     Quantities without a common unit give no rows; a repeated (field_name, item_key, pos) counts
     once; null sources are one history; equal ``seq`` are ordered by key and place; non-finite
-    values count as null. Readings are read in any place; a history is segmented as a whole, in one
-    task that holds a number and a flag a reading, and the rows only of readings that state no unit.
+    values count as null. A history of more than ``span`` readings is cut (:data:`SPAN`).
     """
     from lodestone.session import cut_lineage
 
     units = F.broadcast(common.select("field_name", "quantity", "common_unit").dropDuplicates(["field_name", "quantity"]))
     own = readings.select("field_name", "item_key", "pos", "quantity", "source", "seq", "value", "unit", "raw").join(units, ["field_name", "quantity"])
-    log = F.when((F.col("unit") == F.col("common_unit")) & (F.col("value") > 0), F.log("value"))
-    levels = own.groupBy("field_name", "quantity").agg(F.avg(log).alias("level"), F.stddev_pop(log).alias("spread"))
     kinds = {f.name: f.dataType for f in own.schema}
-    values = [T.StructField("how", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("value_common", T.DoubleType()), T.StructField("value_x100", T.LongType())]
-    result = T.StructType([T.StructField(c, kinds[c]) for c in ("field_name", "item_key", "pos", "quantity")] + values)
     place = ["field_name", "source", "quantity", "seq", "item_key", "pos"]
-    told = T.StructType([T.StructField(c, kinds[c]) for c in place] + [T.StructField("common_unit", T.StringType()), T.StructField("reading", T.DoubleType()), T.StructField("amount", T.StringType())] + values)
-
-    def batch_of(rows: list[tuple], kind) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
-
+    told = T.StructType([T.StructField(c, kinds[c]) for c in place] + [T.StructField("common_unit", T.StringType()), T.StructField("reading", T.DoubleType()), T.StructField("amount", T.StringType()), T.StructField("scale", T.IntegerType()), T.StructField("exact", T.BooleanType())])
+    result = T.StructType([T.StructField(c, kinds[c]) for c in ("field_name", "item_key", "pos", "quantity")] + [T.StructField("how", T.StringType()), T.StructField("exact", T.BooleanType()), T.StructField("value_common", T.DoubleType()), T.StructField("value_x100", T.LongType())])
     told_kind, result_kind = to_arrow_schema(told), to_arrow_schema(result)
 
     def read(batches):
-        """What each reading tells by itself: its value in the common unit, or the bare number."""
+        """What each reading tells by itself: its number, and the place of its scale or -1."""
         for batch in batches:
-            out = []
-            for *at, value, unit, raw, goal in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [c.to_pylist() for c in batch.columns]
+            readings_, amounts, scales, exacts = [], [], [], []
+            for value, unit, raw, goal in zip(*columns[len(place) :]):
                 value = value if value is not None and math.isfinite(value) else None
                 found = stated(goal, value, unit, raw)
-                exact = value is not None and unit == goal
-                if found:
-                    in_common = float(found[0] * found[1] + found[2])
-                    out.append((*at, goal, in_common, None, "stated", exact, in_common, times_100(*found)))
-                else:
-                    number_told = None if value is not None else number(raw)
-                    amount = Decimal(repr(value)) if value is not None else number_told[0] if number_told else None
-                    out.append((*at, goal, None if amount is None else float(amount), None if amount is None else str(amount), None, exact, None, None))
-            if out:
-                yield batch_of(out, told_kind)
+                number_told = None if found or value is not None else number(raw)
+                amount = found[0] if found else Decimal(repr(value)) if value is not None else number_told[0] if number_told else None
+                amounts.append(None if amount is None else str(amount))
+                readings_.append(None if amount is None else float(amount * found[1] + found[2]) if found else float(amount))
+                scales.append(scales_of(goal).index(found[1:]) if found else -1)
+                exacts.append(value is not None and unit == goal)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(place)], batch.columns[-1], *(pa.array(c, f.type) for c, f in zip((readings_, amounts, scales, exacts), list(told_kind)[len(place) + 1 :]))], schema=told_kind)
 
     rows = cut_lineage(own.dropDuplicates(["field_name", "item_key", "pos"]).select(*place, "value", "unit", "raw", "common_unit").mapInArrow(read, told))
-    histories = rows.select(*place, "common_unit", "reading", "amount", F.col("how").isNotNull().alias("known"), "exact").join(F.broadcast(levels), ["field_name", "quantity"])
-    ordered = histories.select(*place, "common_unit", "reading", "amount", "known", "exact", "level", "spread").repartition("field_name", "source", "quantity").sortWithinPartitions(*place)
-
-    def resolved(first: tuple, numbers: array, known: bytearray, unstated: list[tuple]) -> list[tuple]:
-        """The readings of a history that state no unit; ``unstated`` has each one's place in it, key, pos, amount and whether exact."""
-        level = (first[11] if first[11] is not None else math.nan, max(first[12] or 0.0, 0.1))
-        scales = assumed_units(first[6], np.array(numbers), np.array(known, bool), level)
-        out = []
-        for i, key, pos, amount, exact in unstated:
-            triple = (Decimal(amount), *scales[i]) if scales[i] else None
-            out.append((first[0], key, pos, first[2], "history" if triple else "unresolved", exact, *((float(triple[0] * triple[1] + triple[2]), times_100(*triple)) if triple else (None, None))))
-        return out
+    history = ["field_name", "source", "quantity"]
+    log = F.when((F.col("scale") >= 0) & (F.col("reading") > 0), F.log("reading"))
+    whole = rows.groupBy(*history).agg(F.count("*").alias("n"), F.min("seq").alias("since"), F.max("seq").alias("until"), F.count(log).alias("n_stated"), F.sum(log).alias("total"), F.sum(log * log).alias("squares"))
+    # the level of a quantity is that of the readings in the common unit; there are as many as common units
+    standard = F.when(F.col("exact") & (F.col("reading") > 0), F.log("reading"))
+    levels = F.broadcast(rows.groupBy("field_name", "quantity").agg(F.avg(standard).alias("level"), F.stddev_pop(standard).alias("spread")))
+    about = whole.join(levels, ["field_name", "quantity"]).select(*[F.col(c).alias(f"_{c}") for c in history], "n", "since", "until", "n_stated", "total", "squares", "level", "spread")
+    beside = rows.join(about, (F.col("field_name") == F.col("_field_name")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("quantity") == F.col("_quantity")))
+    spans = F.ceil(F.col("n") / span)
+    block = F.when(spans > 1, F.floor((F.col("seq") - F.col("since")) * spans / (F.col("until") - F.col("since") + 1))).otherwise(0).cast("int")
+    ordered = beside.select(*place, "common_unit", "reading", "amount", "scale", "exact", "n_stated", "total", "squares", "level", "spread", block.alias("block")).repartition(*history, "block").sortWithinPartitions(*history, "block", "seq", "item_key", "pos")
+
+    def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The results of one history, or of one span of it."""
+        table = pa.Table.from_batches(held)
+        row = {name: table.column(name)[0].as_py() for name in ("common_unit", "n_stated", "total", "squares", "level", "spread")}
+        values = table.column("reading").to_numpy(zero_copy_only=False).astype(float)
+        scale = table.column("scale").to_numpy()
+        level = (row["level"] if row["level"] is not None else math.nan, max(row["spread"] or 0.0, 0.1))
+        told_by_level = judged_units(row["common_unit"], values, scale, (row["n_stated"], row["total"] or 0.0, row["squares"] or 0.0), level)
+        known = scales_of(row["common_unit"])
+        how, in_common, times = [], [], []
+        for i, (amount, at) in enumerate(zip(table.column("amount").to_pylist(), scale.tolist())):
+            found = told_by_level.get(i) or (known[at] if at >= 0 else None)
+            triple = (Decimal(amount), *found) if found and amount is not None else None
+            how.append("unresolved" if triple is None else "stated" if i not in told_by_level else "reversed" if at >= 0 else "history")
+            in_common.append(None if triple is None else float(triple[0] * triple[1] + triple[2]))
+            times.append(None if triple is None else times_100(*triple))
+        columns = [table.column(c).combine_chunks() for c in ("field_name", "item_key", "pos", "quantity")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(how), table.column("exact").combine_chunks(), pa.array(in_common, pa.float64()), pa.array(times, pa.int64())], schema=result_kind)
 
     def walk(batches):
-        first, numbers, known, unstated = None, array("d"), bytearray(), []
+        now, held = None, []
         for batch in batches:
-            done: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if first is None or row[:3] != first[:3]:
-                    if unstated:
-                        done += resolved(first, numbers, known, unstated)
-                    first, numbers, known, unstated = row, array("d"), bytearray(), []
-                if not row[9]:
-                    unstated.append((len(numbers), row[4], row[5], row[8], row[10]))
-                numbers.append(math.nan if row[7] is None else row[7])
-                known.append(row[9])
-            if done:
-                yield batch_of(done, result_kind)
-        if unstated:
-            yield batch_of(resolved(first, numbers, known, unstated), result_kind)
-
-    return rows.where("how IS NOT NULL").select(*result.fieldNames()).unionByName(ordered.mapInArrow(walk, result))
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(c).to_pylist() for c in (*history, "block"))))
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and names[a] != now:
+                    yield judged(held)
+                    held = []
+                now = names[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield judged(held)
+
+    return ordered.mapInArrow(walk, result)

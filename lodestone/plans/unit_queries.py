@@ -34,7 +34,8 @@ def p3_common(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_common(spark, folder).where("how = 'stated' and not exact").select("field_name", "item_key", "pos", "value_x100")
+    """The readings that tell their value and unit themselves and aren't stored in the common one, as their histories confirm or reverse them."""
+    return p3_common(spark, folder).where("how IN ('stated', 'reversed') AND NOT exact").select("field_name", "item_key", "pos", "value_x100")
 
 
 QUERIES = {"p3_found": p3_found, "p3_common": p3_common}

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.operators.units import assumed_units, changepoints, number, stated, times_100, to_common_units
+from lodestone.operators.units import changepoints, judged_units, number, scales_of, stated, times_100, to_common_units
 
 
 @pytest.mark.parametrize(
@@ -48,13 +48,32 @@ def test_changepoints_are_exact():
         assert changepoints(values, 6.0) == brute(values, 6.0)
 
 
+def totals(values, stated_as):
+    logs = np.log(values[stated_as >= 0])
+    return len(logs), float(logs.sum()), float((logs**2).sum())
+
+
 def test_history_tells_the_unit():
     draw = random.Random(1)
-    grams = [draw.uniform(0.4, 0.6) for _ in range(10)]
-    values = np.array([draw.uniform(400, 600) for _ in range(20)] + grams)
-    known = np.array([True] * 20 + [False] * 10)
-    scales = assumed_units("mg", values, known, (math.nan, 1.0))
-    assert [s is None for s in scales] == [True] * 20 + [False] * 10 and all(float(s[0]) == 1000 for s in scales[20:])
+    values = np.array([draw.uniform(400, 600) for _ in range(20)] + [draw.uniform(0.4, 0.6) for _ in range(10)])
+    mg = scales_of("mg").index((1, 0))
+    as_stated = np.array([mg] * 20 + [-1] * 10)
+    found = judged_units("mg", values, as_stated, totals(values, as_stated), (math.nan, 1.0))
+    assert set(found) == set(range(20, 30)) and all(float(s[0]) == 1000 for s in found.values())
+    assert judged_units("mg", values, np.full(30, -1), (0, 0.0, 0.0), (math.nan, 1.0)) == {}
+
+
+@pytest.mark.parametrize("wrong, reversed_", [(10, True), (4, False), (25, False)])
+def test_a_level_shift_contradicts_the_unit_stated(wrong, reversed_):
+    """Grams written down as milligrams: found in a long enough run that is the minority of its source."""
+    draw = random.Random(2)
+    values = np.array([draw.uniform(400, 600) for _ in range(20)] + [draw.uniform(0.4, 0.6) for _ in range(wrong)])
+    as_stated = np.full(len(values), scales_of("mg").index((1, 0)))
+    found = judged_units("mg", values, as_stated, totals(values, as_stated), (math.nan, 1.0))
+    assert {i: float(s[0]) for i, s in found.items() if i >= 20} == ({i: 1000.0 for i in range(20, 20 + wrong)} if reversed_ else {})
+    drifting = np.array([draw.uniform(400, 600) for _ in range(20)] + [draw.uniform(40, 60) for _ in range(10)])  # no unit is ten times another
+    stated_mg = np.full(30, scales_of("mg").index((1, 0)))
+    assert judged_units("mg", drifting, stated_mg, totals(drifting, stated_mg), (math.nan, 1.0)) == {}
 
 
 def test_rows(spark):
@@ -69,6 +88,16 @@ def test_rows(spark):
     assert got["u3"].how == "history" and got["u3"].value_x100 == 50000
     assert got["n"].how == "unresolved" and got["n"].value_x100 is None
     assert to_common_units(df.limit(0), common).count() == 0
+    cut = {r.item_key: r for r in to_common_units(df, common, span=9).collect()}
+    assert cut == got
+
+
+def test_wrong_units_are_reversed(spark):
+    rows = [("f", f"k{i}", 0, "mass", None, i, 500.0 + i % 7, "mg", None) for i in range(30)] + [("f", f"w{i}", 0, "mass", None, 100 + i, 0.5, "mg", "0.5 mg") for i in range(8)]
+    common = spark.createDataFrame([("f", "mass", "mg")], "field_name string, quantity string, common_unit string")
+    df = spark.createDataFrame(rows, "field_name string, item_key string, pos int, quantity string, source string, seq bigint, value double, unit string, raw string")
+    got = {r.item_key: (r.how, r.value_x100) for r in to_common_units(df, common).collect()}
+    assert {got[f"w{i}"] for i in range(8)} == {("reversed", 50000)} and got["k0"] == ("stated", 50000) and len(got) == 38
 
 
 def test_long_history_without_change():
