@@ -8,7 +8,7 @@ marginals, no weight above the source's cap; documents are then drawn by their c
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,12 @@ def attainable(available: np.ndarray, shares: np.ndarray, caps: np.ndarray, tota
     return np.minimum(shares * total, available * caps)
 
 
+def attainable_total(available: np.ndarray, shares: np.ndarray, caps: np.ndarray) -> float:
+    """The largest mixture in which every source has its share."""
+    wanted = shares > 0
+    return float(np.min(available[wanted] * caps[wanted] / shares[wanted])) if wanted.any() else 0.0
+
+
 def rake(tokens: np.ndarray, source: np.ndarray, language: np.ndarray, topic: np.ndarray, goals: np.ndarray, caps: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The weight of each cell: sources meet ``goals``, languages and topics keep their shares as far as the caps allow.
 
@@ -64,14 +70,14 @@ def _fill(tokens: np.ndarray, weights: np.ndarray, source: np.ndarray, goals: np
     return weights
 
 
-def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, language: str, topic: str, total: int | None = None, vocabulary: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(mixture, shares). mixture: ``key``, source, n_tokens, weight, uses (1 or more); shares: source, target_share,
+def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, language: str, topic: str, total: int | str | None = None, vocabulary: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(mixture, shares). mixture: ``key``, source, language, topic, n_tokens, weight, uses (1 or more); shares: source, target_share,
     actual_share, available_tokens, mixed_tokens, n_documents, capped.
 
     ``targets``: source, target_share, max_repeats, a row a source; documents of other or null sources
     and of no tokens are not used. ``total`` is the mixture's size in tokens, by default that of all
     used documents: a source gets its share of it, or max_repeats times its tokens if that is less, and
-    ``capped`` tells so. Null languages and topics are a value of their own. A document's uses are the
+    ``capped`` tells so. ``total="attainable"`` is the largest size at which no source is capped. Null languages and topics are a value of their own. A document's uses are the
     whole part of its weight and one more by the fraction, by a hash of ``key``, under one factor a
     source that brings the drawn tokens to the goal; never more than max_repeats. Repeated keys are
     drawn alike. An empty table gives an empty mixture and shares of 0 (null actual_share).
@@ -92,7 +98,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, lan
     at = np.array([names.index(c["s"]) for c in cells], int)
     tokens = np.array([float(c["n"]) for c in cells])
     available = np.bincount(at, tokens, len(names))
-    goals = attainable(available, shares, caps, float(total if total is not None else everything))
+    size = attainable_total(available, shares, caps) if total == "attainable" else float(total if total is not None else everything)
+    goals = attainable(available, shares, caps, size)
     codes = [np.unique([c[x] for c in cells], return_inverse=True)[1] if cells else np.zeros(0, int) for x in ("l", "t")]
     weights = rake(tokens, at, *codes, goals, caps) if cells else np.zeros(0)
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("l", T.StringType()), T.StructField("t", T.StringType()), T.StructField("weight", T.DoubleType())])
@@ -113,9 +120,25 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, lan
         factor[name] = float(np.argmin(np.abs(reached - goals[i])) / (BINS / 2)) if goals[i] < available[i] * caps[i] * (1 - 1e-9) else float("inf")
     by_source = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, factor[n])]), F.col("s"))
     drawn = weighted.withColumn("uses", F.least(F.greatest(F.ceil(F.when(by_source == float("inf"), F.col("cap").cast("double")).otherwise(by_source * F.col("weight") - F.col("u"))), F.lit(0)), F.col("cap")).cast("int"))
-    mixture = drawn.where("uses > 0").select(F.col("k").alias(key), F.col("s").alias("source"), "n_tokens", "weight", "uses")
-    goal_rows = spark.createDataFrame([(n, wanted[n][0], int(available[i]), bool(shares[i] * (total if total is not None else everything) > available[i] * caps[i])) for i, n in enumerate(names)], "source string, target_share double, available_tokens bigint, capped boolean")
+    mixture = drawn.where("uses > 0").select(F.col("k").alias(key), F.col("s").alias("source"), F.col("l").alias("language"), F.col("t").alias("topic"), "n_tokens", "weight", "uses")
+    goal_rows = spark.createDataFrame([(n, wanted[n][0], int(available[i]), bool(shares[i] * size > available[i] * caps[i] * (1 + 1e-9))) for i, n in enumerate(names)], "source string, target_share double, available_tokens bigint, capped boolean")
     reached = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("m"), F.count("*").alias("n"))
     whole = mixture.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("whole"))
     report = goal_rows.join(reached, "source", "left").join(F.broadcast(whole.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
     return mixture, report.select("source", "target_share", (F.coalesce("m", F.lit(0)) / F.col("whole")).alias("actual_share"), "available_tokens", F.coalesce("m", F.lit(0)).alias("mixed_tokens"), F.coalesce("n", F.lit(0)).alias("n_documents"), "capped")
+
+
+def marginals(mixture: DataFrame, everything: DataFrame) -> DataFrame:
+    """(marginal, value, corpus_share, mixed_share): how the languages and topics of a ``mixture`` of :func:`mix` keep their shares of the tokens.
+
+    ``everything``: the same with no source capped or repeated, that is every used document once. Small
+    languages and topics are one value (null); values that are missing on a side have a share of 0 there.
+    """
+    def shares(df: DataFrame, out: str) -> DataFrame:
+        cells = df.groupBy("language", "topic").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n"))
+        each = cells.select(F.explode(F.array(F.struct(F.lit("language").alias("marginal"), F.col("language").alias("value")), F.struct(F.lit("topic").alias("marginal"), F.col("topic").alias("value")))).alias("m"), "n").select("m.*", "n")
+        sums = each.groupBy("marginal", "value").agg(F.sum("n").alias("n"))
+        return sums.withColumn(out, F.col("n") / F.sum("n").over(Window.partitionBy("marginal"))).drop("n")  # a row a cell, bounded by SMALL
+
+    both = shares(everything, "corpus_share").join(shares(mixture, "mixed_share"), ["marginal", "value"], "full")
+    return both.select("marginal", F.nullif("value", F.lit("\0")).alias("value"), F.coalesce("corpus_share", F.lit(0.0)).alias("corpus_share"), F.coalesce("mixed_share", F.lit(0.0)).alias("mixed_share"))

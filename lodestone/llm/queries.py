@@ -38,13 +38,13 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _page_texts(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = table(spark, folder, "text_blocks").where("block_type IN ('text', 'list')").select(F.lit("text_blocks.text").alias("field_name"), F.expr(BLOCK_KEY).alias("item_key"), "text")
-    hits = table(spark, folder, "retrieval_hits").select(F.lit("retrieval_hits.text").alias("field_name"), F.expr(HIT_KEY).alias("item_key"), "text")
+    blocks = table(spark, folder, "text_blocks").where("block_type IN ('text', 'list')").select(F.lit("text_blocks.text").alias("field_name"), F.expr(BLOCK_KEY).alias("item_key"), "text", "document_id", F.col("page_idx").alias("page"))
+    hits = table(spark, folder, "retrieval_hits").select(F.lit("retrieval_hits.text").alias("field_name"), F.expr(HIT_KEY).alias("item_key"), "text", "document_id", F.col("page_start").alias("page"))
     return blocks.unionByName(hits)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text")
+    found = scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text", "document_id", "page")
     kinds = F.array(F.struct(F.lit("word").alias("kind"), F.col("new_words").alias("pieces")), F.struct(F.lit("line").alias("kind"), F.col("lines").alias("pieces")))
     each = found.where("size(new_words) > 0 OR size(lines) > 0").select("field_name", "item_key", F.explode(kinds).alias("k"))
     return each.select("field_name", "item_key", "k.kind", F.explode("k.pieces").alias("piece")).distinct()
@@ -52,7 +52,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every scanned or other text once, as continuous paragraphs."""
-    return scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text").dropDuplicates(["field_name", "item_key"])
+    return scans.repair_scans(_page_texts(spark, folder), ["field_name", "item_key"], "text", "document_id", "page").dropDuplicates(["field_name", "item_key"])
 
 
 def _evidence_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,10 +87,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, folder: str, total: int | str | None = None, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Topics are the sections, without their numbers."""
     documents = table(spark, folder, "documents", "doc_id", "text", "source", "lang", "section").withColumn("topic", F.regexp_replace("section", r"^[\d. ]+", ""))
-    return mixture.mix(documents, table(spark, folder, "mix_targets"), "doc_id", "text", "source", "lang", "topic")
+    return mixture.mix(documents, targets or table(spark, folder, "mix_targets"), "doc_id", "text", "source", "lang", "topic", total)
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +98,16 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixture(spark, folder)[1]
+    """The shares of the mixture of the corpus's size, and of the largest one in which all shares hold."""
+    sizes = [_mixture(spark, folder, total)[1].select(F.lit(name).alias("size"), "*") for name, total in (("corpus", None), ("attainable", "attainable"))]
+    return sizes[0].unionByName(sizes[1])
+
+
+def p8_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages and topics of the mixture in which all shares hold, beside those of the documents it is drawn from."""
+    made = _mixture(spark, folder, "attainable")[0]
+    documents = _mixture(spark, folder, None, table(spark, folder, "mix_targets").withColumns({"target_share": F.lit(1.0), "max_repeats": F.lit(1)}))[0]
+    return mixture.marginals(made, documents)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +120,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents"), "doc_id", "text", "source", "source_pdf", "lang").select("doc_id", "text", "lang", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p5_exact": p5_exact, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_nearest": p5_nearest, "p5_exact": p5_exact, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_marginals": p8_marginals, "p9_found": p9_found, "p9_clean": p9_clean}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

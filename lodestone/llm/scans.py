@@ -1,9 +1,10 @@
 """Repair of text from scanned pages into continuous paragraphs.
 
-Page furniture (running headers, footers, page numbers) is taken out, words cut at line ends are
-joined, and misread words are corrected by a noisy channel: candidates within two character
-confusions, weighed by confusion probability times the corpus's bigram likelihood and decoded by
-Viterbi over each line.
+Page furniture (running headers, footers, page numbers) is taken out: by form, and by recurrence over
+the pages of a document. Words cut at line ends are joined, and misread words are corrected by a noisy
+channel: candidates within two character confusions, weighed by confusion probability times the
+corpus's bigram likelihood and decoded by Viterbi over each line. How likely each confusion is is
+estimated from the corpus by expectation and maximisation.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import types as T
 
 #: Shares of all counted words that a word, a word pair and a hyphenated pair need to be in the model; each bounds the model's size by its reciprocal. LEAST: counts needed besides.
 WORD_SHARE, PAIR_SHARE, HYPHEN_SHARE, LEAST = 3e-6, 1e-5, 1e-6, 3
+#: How often a character is misread in a scanned text, over all confusions; each one's own probability is estimated relative to it, within SPREAD times.
+MISREAD, SPREAD = 0.004, 20.0
+#: A running line stands on so many pages of its document, and on this share of those that have several lines: so a document has at most (lines a page / share) of them.
+RUNNING_PAGES, RUNNING_SHARE = 3, 0.2
 #: A known word is doubted if a candidate is so many times more frequent.
 DOUBT = 30.0
 
@@ -70,7 +75,12 @@ def is_furniture(line: str) -> bool:
     return len(letters) >= 10 and " " in text and sum(c.isupper() for c in letters) >= 0.9 * len(letters) and text[-1] not in ".!?;"
 
 
-def without_furniture(text: str, pairs: dict | None = None) -> tuple[list[str], list[str]]:
+def signature(line: str) -> str:
+    """A line as it recurs from page to page: digits and case aside."""
+    return re.sub(r"[0-9]+", "#", line.strip(" ")).lower()
+
+
+def without_furniture(text: str, pairs: dict | None = None, running: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
     """(lines that belong to the text, lines taken out). A text of one line is kept as it is."""
     lines = text.split("\n")
     if len(lines) == 1:
@@ -79,20 +89,20 @@ def without_furniture(text: str, pairs: dict | None = None) -> tuple[list[str],
     if pairs is not None:
         body = [i for i, gone in enumerate(out) if not gone and lines[i].strip()]
         for before, at, after in zip(body, body[1:], body[2:]):
-            if _interrupts(lines[before], lines[at], lines[after], pairs):
+            if _interrupts(lines[before], lines[at], lines[after], pairs, signature(lines[at]) in running):
                 out[at] = True
     if all(out[i] or not lines[i].strip() for i in range(len(lines))):
         return lines, []
     return [line for line, gone in zip(lines, out) if not gone], [line.strip() for line, gone in zip(lines, out) if gone]
 
 
-def _interrupts(before: str, line: str, after: str, pairs: dict) -> bool:
-    """Whether ``line``, whose own words don't read as text, stands between two lines that continue each other."""
+def _interrupts(before: str, line: str, after: str, pairs: dict, recurs: bool = False) -> bool:
+    """Whether ``line``, which recurs on the document's pages or whose own words don't read as text, stands between two lines that continue each other."""
     if re.search(r"[.!?:;]\s*$", before) or re.search(rf"[.!?:;,{HYPHENS}]\s*$", line) or cut_word(before) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line) or not after.strip()[:1].islower():
         return False
     words = [TOKEN.findall(NUMBERS.sub(NUMBER, x.lower())) for x in (before, line, after)]
     inside = list(zip(words[1], words[1][1:]))
-    if not all(words) or sum(pair in pairs for pair in inside) > 0.2 * len(inside):
+    if not all(words) or not recurs and sum(pair in pairs for pair in inside) > 0.2 * len(inside):
         return False
     return (words[0][-1], words[2][0]) in pairs and (words[0][-1], words[1][0]) not in pairs and (words[1][-1], words[2][0]) not in pairs
 
@@ -114,8 +124,10 @@ def joined_lines(lines: list[str]) -> list[list[str]]:
 class Model:
     """Word, pair and hyphenation counts of a corpus, and the decisions that follow from them."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], hyphens: dict[tuple[str, str], int]):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], hyphens: dict[tuple[str, str], int], prices: dict[tuple[str, str], float] | None = None):
         self.words, self.pairs, self.hyphens = words, pairs, hyphens
+        #: Log of the probability that what is seen stands for what is true.
+        self.prices = prices or {(seen, true): math.log(MISREAD) for seen, trues in SEEN.items() for true in trues}
         self.total = sum(words.values()) or 1
         self.options: dict[str, list[tuple[str, float]]] = {}
         self.clean: set[str] = set()
@@ -143,22 +155,25 @@ class Model:
         plain = unicodedata.normalize("NFKD", token)
         plain = "".join(c for c in plain if not unicodedata.combining(c)) if not plain.isascii() else plain
         found: dict[str, float] = {}
+        self.edits: dict[str, tuple] = {}
         if plain != token and self.words.get(plain, 0) > count:
             found[plain] = math.log(0.02)
-        steps = {plain: 0.0 if plain == token else math.log(0.02)}
+        steps = {plain: (0.0 if plain == token else math.log(0.02), ())}
         for step in range(2):
-            made: dict[str, float] = {}
-            for form, cost in steps.items():
+            made: dict[str, tuple[float, tuple]] = {}
+            for form, (cost, edits) in steps.items():
                 for i in range(len(form)):
                     for width in (1, 2):
-                        for true in SEEN.get(form[i : i + width], ()) if i + width <= len(form) else ():
+                        seen = form[i : i + width]
+                        for true in SEEN.get(seen, ()) if i + width <= len(form) else ():
                             new = form[:i] + true + form[i + width :]
-                            price = cost + math.log(0.004)
-                            if new not in found and new not in steps and price > made.get(new, -99.0):
-                                made[new] = price
-            for new, price in made.items():
+                            price = cost + self.prices[seen, true]
+                            if new not in found and new not in steps and price > made.get(new, (-99.0,))[0]:
+                                made[new] = (price, (*edits, (seen, true)))
+            for new, (price, edits) in made.items():
                 if self.words.get(new, 0) > DOUBT * count and new.isalpha() and (step == 0 or len(new) >= 6 or not token.isalpha()):
                     found[new] = max(found.get(new, -99.0), price)
+                    self.edits[new] = edits
             if found or len(token) > 24:
                 break
             steps = made
@@ -166,6 +181,25 @@ class Model:
             return itself
         return itself + sorted(found.items(), key=lambda x: -x[1] - math.log(self.words[x[0]]))[:8]
 
+    def expected(self, token: str, n: int, into: Counter) -> None:
+        """Adds the confusions behind ``n`` occurrences of ``token``, in proportion to how likely each candidate is."""
+        options = self._candidates(token)
+        if len(options) > 1:
+            weights = [math.exp(cost + self.likelihood(None, word)) for word, cost in options]
+            for (word, _), weight in zip(options[1:], weights[1:]):
+                for edit in self.edits.get(word, ()):
+                    into[edit] += n * weight / sum(weights)
+
+    def estimated(self, confusions: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+        """The prices that expected numbers of ``confusions`` give: how often what is true was read so, relative to all confusions."""
+        there = {true: sum(n * word.count(true) for word, n in self.words.items() if true in word) for true in {t for _, t in self.prices}}
+        whole, places = sum(confusions.values()), sum(there[true] for _, true in self.prices)
+        if not whole or not places:
+            return self.prices
+        mean = whole / places
+        rate = lambda edit: (confusions.get(edit, 0.0) + 1.0) / (there[edit[1]] + 1.0 / mean) / mean
+        return {edit: math.log(MISREAD * min(max(rate(edit), 1 / SPREAD), SPREAD)) for edit in self.prices}
+
     def likelihood(self, before: str | None, word: str) -> float:
         """Log of the interpolated bigram probability; unknown words get the mass of half a count, less the longer they are."""
         single = self.words.get(word, 0)
@@ -218,9 +252,9 @@ class Model:
         both = self.words.get(a, 0) and self.words.get(b, 0) and len(a) > 3 and len(b) > 3
         return "-" if both or right[0].isupper() else ""
 
-    def repair(self, text: str) -> tuple[str, list[str]]:
+    def repair(self, text: str, running: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
         """(repaired text, lines taken out)."""
-        lines, gone = without_furniture(text, self.pairs)
+        lines, gone = without_furniture(text, self.pairs, running)
         paragraphs = []
         for paragraph in joined_lines(lines):
             whole = paragraph[0].strip()
@@ -292,36 +326,70 @@ def learn(df: DataFrame, text: str) -> Model:
     total = counts.where("kind = 't'").agg(F.sum("n")).collect()[0][0] or 0
     share = F.when(F.col("kind") == "w", WORD_SHARE).when(F.col("kind") == "p", PAIR_SHARE).otherwise(HYPHEN_SHARE)
     often = counts.where((F.col("kind") != "t") & (F.col("n") >= F.greatest(F.lit(float(LEAST)), share * total))).toArrow().to_pylist()
-    return Model({r["a"]: r["n"] for r in often if r["kind"] == "w"}, {(r["a"], r["b"]): r["n"] for r in often if r["kind"] == "p"}, {(r["a"], r["b"]): r["n"] for r in often if r["kind"] == "h"})
+    model = Model({r["a"]: r["n"] for r in often if r["kind"] == "w"}, {(r["a"], r["b"]): r["n"] for r in often if r["kind"] == "p"}, {(r["a"], r["b"]): r["n"] for r in often if r["kind"] == "h"})
+    shared = df.sparkSession.sparkContext.broadcast((model.words, model.prices))
+
+    def expectation(batches):
+        """The confusions behind all words, the rare ones too; words without pairs."""
+        known, prices = shared.value
+        own, into = Model(known, {}, {}, prices), Counter()
+        for batch in batches:
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                own.expected(word, n, into)
+        if into:
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in into]) for i in (0, 1)] + [pa.array(list(into.values()), pa.float64())], names=["seen", "true", "n"])
+
+    doubtful = counts.where((F.col("kind") == "w") & (F.length("a") > 2) & ~F.col("a").rlike(r"[0-9]{2}|[0-9].*[0-9].*[0-9]")).select("a", "n")
+    found = doubtful.mapInArrow(expectation, "seen string, true string, n double").groupBy("seen", "true").agg(F.sum("n").alias("n")).collect()
+    model.prices = model.estimated({(r["seen"], r["true"]): r["n"] for r in found})
+    return model
+
+
+def running_lines(df: DataFrame, text: str, document: str, page: str) -> DataFrame:
+    """(document, running): the signatures of the lines that recur over the pages of each document (:data:`RUNNING_PAGES`, :data:`RUNNING_SHARE`).
+
+    Only lines inside texts of several lines count that begin like a title and don't end like a sentence.
+    """
+    several = df.where(F.contains(F.col(text), F.lit("\n")) & F.col(document).isNotNull() & F.col(page).isNotNull()).select(F.col(document).alias("d"), F.col(page).alias("p"), F.split(text, "\n").alias("lines"))
+    lines = several.select("d", "p", F.explode("lines").alias("line")).where(F.col("line").rlike(r"^ *[A-Z0-9]") & ~F.col("line").rlike(r"[.!?:;,-] *$"))
+    seen = lines.groupBy("d", F.lower(F.regexp_replace(F.trim("line"), "[0-9]+", "#")).alias("s")).agg(F.count_distinct("p").alias("n")).where(F.col("n") >= RUNNING_PAGES)
+    pages = several.groupBy("d").agg(F.count_distinct("p").alias("pages"))
+    return seen.join(pages, "d").where(F.col("n") >= RUNNING_SHARE * F.col("pages")).groupBy(F.col("d").alias("document")).agg(F.collect_set("s").alias("running"))
 
 
 REPAIRED = [T.StructField("repaired", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("new_words", T.ArrayType(T.StringType()))]
 
 
-def repair_scans(df: DataFrame, keys: list[str], text: str, model: Model | None = None) -> DataFrame:
+def repair_scans(df: DataFrame, keys: list[str], text: str, document: str | None = None, page: str | None = None, model: Model | None = None) -> DataFrame:
     """(``keys``, repaired, lines, new_words) of every row.
 
     ``lines``: the distinct page furniture taken out, as stored and trimmed; ``new_words``: the distinct
     words of four letters or more of the repaired text that the stored one has not. Null stays null
     with empty lists, empty and blank texts become empty; a text that is nothing but furniture is
-    kept. Repeated rows give repeated results. ``model`` defaults to one of all texts in ``df``.
+    kept. Repeated rows give repeated results. With ``document`` and ``page``, lines that recur over
+    the pages of a document are furniture where they interrupt a sentence. ``model`` defaults to one of
+    all texts in ``df``; it is broadcast, its size is bounded by the shares above.
     """
     model = model or learn(df, text)
-    words, pairs, hyphens = model.words, model.pairs, model.hyphens
-    own = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t"))
+    shared = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.hyphens, model.prices))
     names = [f"k{i}" for i in range(len(keys))]
+    own = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *([F.col(document).alias("document")] if document and page else []), F.col(text).alias("t"))
+    if document and page:
+        own = own.join(running_lines(df, text, document, page), "document", "left").select(*names, "t", "running")
+    else:
+        own = own.withColumn("running", F.lit(None).cast("array<string>"))
 
     def work(batches):
-        own_model = Model(words, pairs, hyphens)
+        own_model = Model(*shared.value)
         for batch in batches:
             repaired, gone, new = [], [], []
-            for value in batch.column(len(names)).to_pylist():
+            for value, running in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 if value is None:
                     repaired.append(None)
                     gone.append([])
                     new.append([])
                     continue
-                fixed, lines = own_model.repair(value)
+                fixed, lines = own_model.repair(value, frozenset(running or ()))
                 repaired.append(fixed)
                 gone.append(sorted(set(lines)))
                 new.append(sorted({w for w in LETTERS.findall(fixed.lower()) if len(w) >= 4} - set(LETTERS.findall(value.lower()))) if fixed != value else [])

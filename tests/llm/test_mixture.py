@@ -29,3 +29,10 @@ def test_shares(spark):
     assert abs(report.mixed_tokens["big"] / goal - 1) < 0.01 and abs(report.mixed_tokens["small"] / goal - 1) < 0.01
     assert abs(report.actual_share.sum() - 1) < 1e-9
     assert mix(df.limit(0), targets, "k", "x", "source", "lang", "topic")[1].count() == 4
+
+
+def test_attainable_size():
+    from lodestone.llm.mixture import attainable_total
+
+    available, shares, caps = np.array([100.0, 10.0, 5.0]), np.array([0.5, 0.5, 0.0]), np.array([1.0, 4.0, 1.0])
+    assert attainable_total(available, shares, caps) == 80.0

@@ -1,6 +1,9 @@
+import math
+from collections import Counter
+
 import pytest
 
-from lodestone.llm.scans import Model, is_furniture, repair_scans
+from lodestone.llm.scans import MISREAD, Model, is_furniture, learn, repair_scans, running_lines
 
 CLEAN = "The amine-rich support was rinsed until the washings were neutral and the whole structure was immobilized with cellulase."
 
@@ -43,3 +46,27 @@ def test_rows(spark):
     assert got[100].repaired == CLEAN and got[100].new_words == ["structure", "washings"]
     assert got[101].repaired is None and got[102].repaired == "" and got[103].repaired == "" and got[104].repaired == "Q" * 30000 and got[None].repaired == "- 3 -"
     assert repair_scans(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_confusions_are_estimated(spark, model):
+    """Where t is mostly read as f, that confusion is more likely than one that never happens."""
+    into: Counter = Counter()
+    model.expected("sfructure", 30, into)
+    assert set(into) == {("f", "t")} and 20 < into["f", "t"] <= 30
+    prices = model.estimated(into)
+    assert prices["f", "t"] > math.log(MISREAD) > prices["l", "t"]
+    rows = [(i, CLEAN) for i in range(200)] + [(1000 + i, CLEAN.replace("structure", "sfructure")) for i in range(6)]
+    learned = learn(spark.createDataFrame(rows, "k int, t string"), "t").prices
+    assert learned["f", "t"] > learned["l", "t"] and set(learned) == set(model.prices)
+    assert learn(spark.createDataFrame([], "k int, t string"), "t").prices == Model({}, {}, {}).prices
+
+
+def test_running_lines_recur_over_pages(spark):
+    """A title without any form of its own is taken out where it recurs and interrupts a sentence; a line of text that recurs is not."""
+    body = "the support was rinsed until\n{}washings were neutral and clean\nThe whole structure was"
+    rows = [(f"k{i}", body.format("The whole structure\n" if i < 4 else ""), "d", i) for i in range(8)] + [(f"e{i}", body.format("The whole structure\n"), "e", 0) for i in range(4)] + [("n", None, None, None), ("m", "a\nb", None, 3)]
+    rows += [(f"s{i}", "It was rinsed until washings were neutral.", "s", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, t string, doc string, page int")
+    assert {r.document: sorted(r.running) for r in running_lines(df, "t", "doc", "page").collect()} == {"d": ["the whole structure", "the whole structure was"]}
+    got = {r.k: r.lines for r in repair_scans(df, ["k"], "t", "doc", "page").collect()}
+    assert got["k0"] == ["The whole structure"] and got["k7"] == [] and got["e0"] == [] and got["n"] == [] and len(got) == 20
