@@ -31,6 +31,8 @@ HOT, LOADS = 2048, 4
 LOAD, SLOTS = 32, (16, 22)
 #: Bands x samples over the hot words of sets that need them, and bits of the bitmap of the poor sets' bands (8 MB).
 HOT_BANDS, BITMAP = (64, 6), 1 << 26
+#: A row of a rare word carries its set's size times this, plus the number of hot words in the set's prefix; a row of a band carries -1.
+INFO = 1 << 20
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -191,7 +193,8 @@ class _Sets:
         prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
         leading = np.arange(len(words)) - self.starts[owner] < prefix[owner]
         self.rare_leading, self.is_hot = leading & ~is_hot, is_hot
-        self.needs_bands = np.bincount(owner[leading & is_hot], minlength=len(sizes)) > 0
+        hot_leading = np.bincount(owner[leading & is_hot], minlength=len(sizes))
+        self.needs_bands, self.info = hot_leading > 0, sizes * INFO + np.minimum(hot_leading, INFO - 1)
         self.poor = np.bincount(owner[~is_hot], minlength=len(sizes)) <= (1 - threshold) / (1 + threshold) * sizes + 1e-9
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +216,14 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     Candidates share a bucket: a rare word of both prefixes (exact), or, where the shared words are
     all hot, a band of MinHash samples of the hot words. Of the latter pairs one set is poor
     (:class:`_Sets`), so the others send only the bands that some poor set has, by a bitmap of fixed
-    size. Buckets of rare words hold at most the least count of a hot word.
+    size. Buckets of rare words hold at most the least count of a hot word. Candidates with fewer rare
+    words in common than the threshold needs of the prefixes are left out before the sets are compared.
     """
     context = sets.sparkSession.sparkContext
     fields = sorted(r["field"] for r in sets.select("field").distinct().collect())
     table, hot = _word_counts(sets, fields)
     counts = context.broadcast(table)
-    kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("rid", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(BITS // 64)]])
+    kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("info", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(BITS // 64)]])
 
     def parts(batches):
         """(rids, sets, words, starts) of the sets of one field, some at a time."""
@@ -255,17 +259,17 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         there = poor_bands.value
         for rids, some, words, starts in parts(batches):
             sketch = odd_sketches(_minima(words, starts, 0, SAMPLES))
-            found = [some.buckets()]
+            found = [(*(rare := some.buckets()), some.info[rare[1]])]
             if there is not None:
                 if (poor := some.needs_bands & some.poor).any():
-                    found.append(some.bands(poor))
+                    found.append((*(all_bands := some.bands(poor)), np.full(len(all_bands[0]), -1)))
                 if (rest := some.needs_bands & ~some.poor).any():
                     bands, at = some.bands(rest)
                     slot = bands % np.uint64(BITMAP)
                     met = (there[(slot // np.uint64(64)).astype(np.int64)] >> (slot % np.uint64(64))) & np.uint64(1) > 0
-                    found.append((bands[met], at[met]))
-            bands, at = (np.concatenate(x) for x in zip(*found))
-            columns = [bands.view(np.int64), rids[at], *[np.ascontiguousarray(sketch[at, i]).view(np.int64) for i in range(sketch.shape[1])]]
+                    found.append((bands[met], at[met], np.full(int(met.sum()), -1)))
+            bands, at, info = (np.concatenate(x) for x in zip(*found))
+            columns = [bands.view(np.int64), rids[at], info.astype(np.int64), *[np.ascontiguousarray(sketch[at, i]).view(np.int64) for i in range(sketch.shape[1])]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=kind.fieldNames())
 
     banded = own.mapInArrow(work, kind)
@@ -274,7 +278,13 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         bits = F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")))
         differing = bits if differing is None else differing + bits
     near = (F.col("a.band") == F.col("b.band")) & (F.col("a.rid") < F.col("b.rid")) & (differing <= differing_limit(threshold))
-    candidates = banded.alias("a").join(banded.alias("b").hint("merge"), near).select(F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b")).distinct()
+    met = banded.alias("a").join(banded.alias("b").hint("merge"), near).select(F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b"), F.col("a.info").alias("ia"), F.col("b.info").alias("ib"))
+    pairs = met.groupBy("rid_a", "rid_b").agg(F.count_if(F.col("ia") >= 0).alias("rare"), (F.min("ia") < 0).alias("banded"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    # Up to where the earlier prefix ends, shared words are in both prefixes: rare ones, which were counted, and hot ones; the rest lies beyond.
+    size = lambda c: F.floor(F.col(c) / INFO)
+    beyond = lambda c: F.ceil(threshold * size(c) - 1e-9) - 1
+    most = F.col("rare") + F.least(F.pmod(F.col("ia"), F.lit(INFO)), F.pmod(F.col("ib"), F.lit(INFO))) + F.greatest(beyond("ia"), beyond("ib"))
+    candidates = pairs.where(F.col("banded") | (most >= F.ceil(threshold / (1 + threshold) * (size("ia") + size("ib")) - 1e-9))).select("rid_a", "rid_b")
     words = sets.select("rid", "words")
     both = candidates.join(words.withColumnsRenamed({"rid": "rid_a", "words": "wa"}), "rid_a").join(words.withColumnsRenamed({"rid": "rid_b", "words": "wb"}), "rid_b")
     shared = F.size(F.array_intersect("wa", "wb"))
