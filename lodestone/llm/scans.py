@@ -98,7 +98,7 @@ def without_furniture(text: str, pairs: dict | None = None, running: frozenset[s
 
 def _interrupts(before: str, line: str, after: str, pairs: dict, recurs: bool = False) -> bool:
     """Whether ``line``, which recurs on the document's pages or whose own words don't read as text, stands between two lines that continue each other."""
-    if re.search(r"[.!?:;]\s*$", before) or re.search(rf"[.!?:;,{HYPHENS}]\s*$", line) or cut_word(before) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line) or not after.strip()[:1].islower():
+    if re.search(r"[.!?:;]\s*$", before) or re.search(rf"[{HYPHENS}.!?:;,]\s*$", line) or cut_word(before) or BULLET.match(line) or not re.match(r"\s*[A-Z\d]", line) or not after.strip()[:1].islower():
         return False
     words = [TOKEN.findall(NUMBERS.sub(NUMBER, x.lower())) for x in (before, line, after)]
     inside = list(zip(words[1], words[1][1:]))
