@@ -36,3 +36,18 @@ def pages_ordered(start: Column, end: Column) -> Column:
 def answer_shape(kind: Column, n_candidates: Column, reason: Column) -> Column:
     """Ranked answers have candidates, abstentions a reason."""
     return F.when(kind == "ranked_candidates", n_candidates > 0).when(kind == "abstention", F.coalesce(reason != "", F.lit(False))).otherwise(True)
+
+
+def confidence_in_range(value: Column) -> Column:
+    """A confidence given as a number is from 0 to 1."""
+    return F.coalesce((value >= 0) & (value <= 1), F.lit(False))
+
+
+def ranked(rank: Column, evidence_ids: Column) -> Column:
+    """A candidate has a rank from 1 and at least one evidence id."""
+    return F.coalesce((rank >= 1) & (F.size(evidence_ids) > 0), F.lit(False))
+
+
+def linked(**pairs: tuple[Column, Column]) -> list[Column]:
+    """For each name whether its two ids are the same, as the parts of one record must name each other."""
+    return [F.coalesce(a == b, F.lit(False)).alias(name) for name, (a, b) in pairs.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,3 +84,37 @@ def located(files: DataFrame, name: str) -> DataFrame:
     stem = lambda c: F.trim(F.regexp_replace(c, r"(?i)\.pdf$", ""))
     found = files.withColumn("_name", base).where((F.trim("_name") == wanted) | (stem(F.col("_name")) == wanted[:-4].strip()))
     return found.orderBy((F.col("_name") != wanted).cast("int"), F.length("_name"), "_name").limit(1).drop("_name")
+
+
+def with_siblings(files: DataFrame, *suffixes: str) -> DataFrame:
+    """The content lists among ``files`` (path), each with the paths of its siblings of the same document and folder by suffix, null where there is none."""
+    stem = lambda c, suffix: F.regexp_replace(c, re.escape(suffix) + "$", "")
+    out = files.where(F.col("path").endswith("_content_list.json")).withColumn("_stem", stem(F.col("path"), "_content_list.json"))
+    for suffix in suffixes:
+        other = files.where(F.col("path").endswith(suffix)).select(stem(F.col("path"), suffix).alias("_stem"), F.col("path").alias(suffix.strip("_.").split(".")[0]))
+        out = out.join(other, "_stem", "left")
+    return out.drop("_stem")
+
+
+def latest_artifacts(files: DataFrame) -> DataFrame:
+    """Of each document's content lists (path, modified) the latest; of equal ones in one artifact the folder ``hybrid_auto`` before ``auto``."""
+    lists = files.where(F.col("path").endswith("_content_list.json"))
+    folder = F.element_at(F.split("path", "/"), -2)
+    best = F.struct("modified", (folder == "hybrid_auto").cast("int").alias("hybrid"), "path")
+    return lists.groupBy(document_name(F.col("path")).alias("document_id")).agg(F.max(best).alias("b")).select("document_id", "b.path", "b.modified")
+
+
+def pending(documents: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The ``documents`` (document_id) without an artifact: what a run still has to do."""
+    return documents.join(artifacts.select("document_id"), "document_id", "left_anti")
+
+
+def tolerant_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of a JSONL file of sources: bad lines and those whose id or text is no string are skipped, of a repeated id the last counts; a missing file is empty."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "id string, text string")
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"), F.monotonically_increasing_id().alias("at"))
+    of = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    kept = lines.where((F.schema_of_variant(of("id")) == "STRING") & (F.schema_of_variant(of("text")) == "STRING"))
+    return kept.select(F.try_variant_get("v", "$.id", "string").alias("id"), F.try_variant_get("v", "$.text", "string").alias("text"), "at").groupBy("id").agg(F.max_by("text", "at").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import signals as S
 from lodestone.functions import text as X
-from lodestone.operators import chunking, compare, evidence, index, prefix, search, tables
+from lodestone.operators import chunking, compare, contracts, evidence, index, prefix, search, tables
 from lodestone.sources import files
 from lodestone.streaming import events
 
@@ -322,3 +322,19 @@ def test_search_many(spark):
         scores[q] = -3
         assert np.allclose(sorted(rows.score), np.sort(scores)[-4:])
     assert set(got["query"]) == set(range(0, 60, 10)) and got.groupby("query").size().eq(4).all()
+
+
+def test_artifacts(spark, tmp_path):
+    kind = "path string, modified int"
+    rows = [("/a/auto/B1_content_list.json", 5), ("/a/hybrid_auto/B1_content_list.json", 5), ("/b/auto/B1_content_list.json", 3), ("/a/hybrid_auto/B1.md", 5), ("/c/auto/B2_content_list.json", 1)]
+    df = spark.createDataFrame(rows, kind)
+    assert sorted((r.document_id, r.path) for r in files.latest_artifacts(df).collect()) == [("B1", "/a/hybrid_auto/B1_content_list.json"), ("B2", "/c/auto/B2_content_list.json")]
+    assert {r.path: (r.md, r.middle) for r in files.with_siblings(df, ".md", "_middle.json").collect()}["/a/hybrid_auto/B1_content_list.json"] == ("/a/hybrid_auto/B1.md", None)
+    assert [r.document_id for r in files.pending(spark.createDataFrame([("B1",), ("B3",)], "document_id string"), files.latest_artifacts(df)).collect()] == ["B3"]
+    (tmp_path / "t.jsonl").write_text('{"id": "a", "text": "1"}\n\nbroken\n{"id": 5, "text": "x"}\n{"id": "b", "text": null}\n{"id": "a", "text": "2"}\n')
+    assert [tuple(r) for r in files.tolerant_texts(spark, str(tmp_path / "t.jsonl")).collect()] == [("a", "2")] and files.tolerant_texts(spark, str(tmp_path / "no.jsonl")).count() == 0
+
+
+def test_contracts(spark):
+    row = spark.range(1).select(contracts.confidence_in_range(F.lit(1.2)).alias("a"), contracts.ranked(F.lit(1), F.array(F.lit("e"))).alias("b"), contracts.ranked(F.lit(0), F.array(F.lit("e"))).alias("c"), *contracts.linked(same=(F.lit("x"), F.lit("x")), other=(F.lit("x"), F.lit(None)))).head()
+    assert tuple(row) == (False, True, False, True, False)
