@@ -27,8 +27,8 @@ def attainable(available: np.ndarray, shares: np.ndarray, caps: np.ndarray, tota
 
 
 def attainable_total(available: np.ndarray, shares: np.ndarray, caps: np.ndarray) -> float:
-    """The largest mixture in which every source has its share."""
-    wanted = shares > 0
+    """The largest mixture in which every source that has any tokens has its share."""
+    wanted = (shares > 0) & (available > 0)
     return float(np.min(available[wanted] * caps[wanted] / shares[wanted])) if wanted.any() else 0.0
 
 
@@ -108,7 +108,7 @@ def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, lan
     weighted = counted.join(F.broadcast(fitted), ["s", "l", "t"]).withColumn("cap", repeats)
     # A document's j-th use takes place if the source's factor reaches (u + j) / weight; the factors lie near 1.
     steps = weighted.select("s", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("j"), "u", "weight")
-    place = F.least(F.greatest(F.floor(((F.col("u") + F.col("j")) / F.col("weight")) * (BINS / 2)), F.lit(0)), F.lit(BINS))
+    place = F.least(F.greatest(F.floor(F.coalesce(F.try_divide(F.col("u") + F.col("j"), F.col("weight")), F.lit(2.0)) * (BINS / 2)), F.lit(0)), F.lit(BINS))
     histogram = steps.select("s", place.cast("int").alias("bin"), "n_tokens").groupBy("s", "bin").agg(F.sum("n_tokens").alias("n")).collect()
     factor = {}
     for i, name in enumerate(names):

@@ -36,3 +36,14 @@ def test_attainable_size():
 
     available, shares, caps = np.array([100.0, 10.0, 5.0]), np.array([0.5, 0.5, 0.0]), np.array([1.0, 4.0, 1.0])
     assert attainable_total(available, shares, caps) == 80.0
+    assert attainable_total(np.array([100.0, 0.0]), np.array([0.5, 0.5]), np.array([1.0, 4.0])) == 200.0 and attainable_total(np.zeros(2), np.array([0.5, 0.5]), np.ones(2)) == 0.0
+
+
+def test_sizes_at_which_shares_hold(spark):
+    rows = [(i, f"text number {i} of some words " * (1 + i % 7), "big" if i % 5 else "small", "en", "t") for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, x string, source string, lang string, topic string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 1), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    report = mix(df, targets, "k", "x", "source", "lang", "topic", "attainable")[1].toPandas().set_index("source")
+    assert abs(report.mixed_tokens["big"] / report.mixed_tokens["small"] / 1.25 - 1) < 0.02 and not report.capped["small"] and not report.capped["big"]
+    nothing = mix(df, targets, "k", "x", "source", "lang", "topic", 0)
+    assert nothing[0].count() == 0 and nothing[1].count() == 3
