@@ -69,16 +69,17 @@ def metrics(text: Column) -> Column:
     """All activity recoveries, the first biodiesel yield and the first number of reuse cycles; repeated ones once."""
     recoveries = F.arrays_zip(X.matched_numbers(text, ACTIVITY_RECOVERY).alias("v"), F.regexp_extract_all(text, F.lit(ACTIVITY_RECOVERY), 0).alias("r"))
     every = F.transform(recoveries, lambda m: _metric("activity_recovery", m["v"], "%", m["r"]))
-    produced = X.first_match(text, BIODIESEL_YIELD)
-    cycles = X.cycle_count(F.get(F.regexp_extract_all(text, F.lit(REUSE), 1), F.lit(0)))
-    more = F.array(F.when(produced.isNotNull(), _metric("biodiesel_yield", produced, "%", F.concat(produced.cast("string"), F.lit("%")))), F.when(cycles.isNotNull(), _metric("reuse_cycles", cycles, "cycle", F.get(F.regexp_extract_all(text, F.lit(REUSE), 0), F.lit(0)))))
+    produced = X.let(X.first_match(text, BIODIESEL_YIELD), lambda v: F.when(v.isNotNull(), _metric("biodiesel_yield", v, "%", F.concat(v.cast("string"), F.lit("%")))))
+    reuse = lambda group: F.get(F.regexp_extract_all(text, F.lit(REUSE), group), F.lit(0))
+    cycles = X.let(X.let(reuse(1), X.cycle_count), lambda n: F.when(n.isNotNull(), _metric("reuse_cycles", n, "cycle", reuse(0))))
+    more = F.array(produced, cycles)
     return distinct_metrics(F.concat(every, F.array_compact(more)))
 
 
 def distinct_metrics(column: Column) -> Column:
     """The first of the metrics with the same name, value, unit and cycle, in order."""
     same = lambda a, b: a["name"].eqNullSafe(b["name"]) & a["value"].eqNullSafe(b["value"]) & a["unit"].eqNullSafe(b["unit"]) & a["cycle"].eqNullSafe(b["cycle"])
-    return F.aggregate(F.slice(column, F.lit(2), F.greatest(F.size(column) - 1, F.lit(0))), F.slice(column, 1, 1), lambda kept, m: F.when(F.exists(kept, lambda k: same(k, m)), kept).otherwise(F.concat(kept, F.array(m))))
+    return X.let(column, lambda c: F.aggregate(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(1), F.lit(1)), lambda kept, m: F.when(F.exists(kept, lambda k: same(k, m)), kept).otherwise(F.concat(kept, F.array(m)))))
 
 
 #: The columns of an evidence record, without its id.

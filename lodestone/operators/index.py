@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,27 +53,24 @@ class HashEmbedder:
         self.dimensions, self.name = dimensions, f"hash-v1-{dimensions}"
 
     def vectors(self, features: Column) -> Column:
-        """The vectors of a column of feature lists; Arrow batches, each distinct feature hashed once a worker."""
+        """The vectors of a column of feature lists; Arrow batches, each distinct feature hashed once a batch."""
         size = self.dimensions
 
-        @F.pandas_udf("array<double>")
-        def embed(lists: pd.Series) -> pd.Series:
-            known: dict[str, tuple[int, float]] = {}
-            out = []
-            for names in lists:
-                vector = np.zeros(size)
-                for name in names if names is not None else ():
-                    at, sign = known.get(name) or known.setdefault(name, feature(name, size))
-                    vector[at] += sign
-                norm = np.sqrt((vector**2).sum())
-                out.append(vector / norm if norm else vector)
-            return pd.Series(out)
+        @F.arrow_udf("array<double>")
+        def embed(lists: pa.Array) -> pa.Array:
+            names = lists.flatten().dictionary_encode()
+            hashed = [feature(name, size) for name in names.dictionary.to_pylist()]
+            places, signs = np.array([at for at, _ in hashed], np.int64), np.array([sign for _, sign in hashed])
+            which, row = names.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+            sums = np.bincount(row * size + places[which], signs[which], len(lists) * size).astype(float).reshape(-1, size)
+            norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+            flat = np.divide(sums, norms, out=sums, where=norms > 0).ravel()
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * size, pa.int32()), pa.array(flat))
 
         return embed(features)
 
     def embed(self, text: Column) -> Column:
-        words = tokens(text)
-        return self.vectors(F.concat(words, bigrams(words)))
+        return self.vectors(X.let(tokens(text), lambda words: F.concat(words, bigrams(words))))
 
 
 class SentenceEmbedder:

@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,17 +148,80 @@ def context(hits: DataFrame, group: str, width: int = 900) -> DataFrame:
 def retrieve(points: DataFrame, queries: DataFrame, key: str, text: str, embedder, limit: int = 8, point_type: str | None = None, usable_only: bool = True) -> DataFrame:
     """(``key``, rank, score, and the payload of the point): the ``limit`` most similar points of each query text, exact.
 
-    ``points``: id and vector of the embedder's size, with their payload. The filters reach the scan;
-    queries whose text gives no features find nothing.
+    ``points``: id and vector of the embedder's size, with their payload; ``queries``: each key once.
+    The filters reach the scan; equal texts are asked once; queries whose text gives no features find
+    nothing.
     """
     if limit < 1 or point_type not in (None, *POINT_TYPES):
         raise ValueError("limit or point type")
     kept = points.where(F.col("point_type") == point_type) if point_type else points
     kept = kept.where("usable_for_ranking") if usable_only else kept
-    asked = queries.select(F.col(key), embedder.embed(F.col(text)).alias("vector"))
-    found = search_many(kept.select("id", "vector"), asked, "id", "vector", embedder.dimensions, limit, query_key=key)
-    ranked = top_per_group(found.select(F.col("query").alias(key), "id", "score"), [key], [F.col("score").desc(), "id"], limit)
-    return ranked.join(kept.drop("vector"), "id")
+    texts = queries.select(F.col(key), F.col(text).alias("_text")).where("_text IS NOT NULL")
+    firsts = texts.groupBy("_text").agg(F.min(key).alias("_first"), F.max("_text").alias("_said"))  # _said: filters on vectors of the group's key would move before the grouping
+    found = search_many(kept.select("id", "vector"), firsts.select("_first", embedder.embed(F.col("_said")).alias("vector")), "id", "vector", embedder.dimensions, limit, query_key="_first")
+    ranked = top_per_group(found, ["query"], [F.col("score").desc(), "id"], limit)
+    asked = texts.join(firsts, "_text").select(key, "_first")
+    return asked.join(ranked, F.col("_first").eqNullSafe(F.col("query"))).select(key, "id", "score", "rank").join(kept.drop("vector"), "id")
+
+
+class _Chunk:
+    """Points of one chunk, in order of their ids, of which any query finds the ``k`` most similar.
+
+    Scores are found in 32-bit numbers, a tile of points at a time. Those that may reach the k best so
+    far, whatever the rounding, are computed again in 64-bit numbers, each alone, so that equal vectors
+    score alike wherever they stand. Of equal vectors only the first k are kept.
+    """
+
+    TILE = 2048
+
+    def __init__(self, ids: pa.Array, units: np.ndarray, k: int, own: bool):
+        order = pc.sort_indices(ids).to_numpy()
+        seen: dict[bytes, int] = {}
+        kept = []
+        for i in order.tolist():
+            row = units[i].tobytes()
+            if (n := seen.get(row, 0)) < k + own:
+                seen[row] = n + 1
+                kept.append(i)
+        self.ids, self.units, self.k, self.own = ids.take(pa.array(kept, pa.int64())), units[kept], k, own
+        self.small = self.units.astype(np.float32)
+        self.slack = (units.shape[1] + 8) * 2.0**-23
+
+    def _exact(self, vectors: np.ndarray, who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
+        for c in range(0, len(at), 65_536):
+            some = slice(c, c + 65_536)
+            out[some] = (vectors[who[some]] * self.units[at[some]]).sum(axis=1)
+        return out
+
+    def best(self, names: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, place of the point, score) by query, score and place."""
+        k, small, numbers = self.k, vectors.astype(np.float32), np.arange(len(vectors))
+        bound = np.full(len(vectors), -np.inf)
+        who, at, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for begin in range(0, len(self.units), self.TILE):
+            scores = small @ self.small[begin : begin + self.TILE].T
+            width = 16 * (k + self.own)
+            if begin == 0 and (whole := scores.shape[1] // width * width):  # k groups of points hold k points
+                most = scores[:, :whole].reshape(len(vectors), -1, width).max(axis=1)
+                bound = np.partition(most, width - k - self.own, axis=1)[:, width - k - self.own].astype(float) - self.slack
+            more = np.flatnonzero(scores >= (bound - self.slack).astype(np.float32)[:, None])
+            if not len(more):
+                continue
+            q, p = np.divmod(more, scores.shape[1])
+            p += begin
+            if self.own:
+                other = ~pc.fill_null(pc.equal(names.take(pa.array(q)), self.ids.take(pa.array(p))), False).to_numpy(zero_copy_only=False)
+                q, p = q[other], p[other]
+            who, at, score = np.concatenate([who, q]), np.concatenate([at, p]), np.concatenate([score, self._exact(vectors, q, p)])
+            order = np.lexsort((at, -score, who))
+            who, at, score = who[order], at[order], score[order]
+            first = np.searchsorted(who, numbers)
+            good = np.arange(len(who)) - first[who] < k
+            full = np.searchsorted(who, numbers, "right") - first >= k
+            bound[full] = score[first[full] + k - 1]
+            who, at, score = who[good], at[good], score[good]
+        return who, at, score
 
 
 def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, size: int, k: int = 5, chunk: int = 50_000, query_key: str | None = None) -> DataFrame:
@@ -165,9 +229,9 @@ def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, si
 
     Points have ``key`` and ``vector``; queries the same, and then don't find their own key, or
     ``query_key`` and ``vector``. Vectors that aren't ``size`` numbers or have no length are left out.
-    The points are cut into chunks of about ``chunk`` by a hash of their key; every query is sent to
-    every chunk, whose task keeps its points and streams the queries in blocks, so only k candidates a
-    query and chunk leave it. Ties go to the lower key.
+    The points are cut into chunks of about ``chunk`` by a hash of their key, a task each; every query
+    is sent to every chunk, whose task keeps its points and streams the queries in blocks, so only k
+    candidates a query and chunk leave it. Ties go to the lower key.
     """
     own = query_key is None
     name = query_key or key
@@ -179,14 +243,12 @@ def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, si
     asked = usable(queries, name).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), nothing["point"].alias("point"), F.col("id").alias("query"), "v")
     out = T.StructType([T.StructField("query", kinds["query"]), T.StructField("id", kinds["point"]), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(out)
-    plain = lambda column: column.to_numpy(zero_copy_only=False)
-
     def unit(column):
         matrix = column.flatten().to_numpy().reshape(-1, size)
         return matrix / np.linalg.norm(matrix, axis=1)[:, None]
 
     def work(batches):
-        now, ids, units, stock = None, None, None, []
+        now, held, stock = None, None, []
         for batch in batches:
             part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
@@ -195,26 +257,19 @@ def search_many(points: DataFrame, queries: DataFrame, key: str, vector: str, si
                     continue
                 rows = batch.slice(a, b - a)
                 if part[a] != now:
-                    now, units, stock = part[a], None, []
+                    now, held, stock = part[a], None, []
                 if kind[a] == 0:
                     stock.append(rows)
                     continue
-                if units is None:
+                if held is None:
                     if not stock:
                         continue
-                    ids = np.concatenate([plain(x.column(2)) for x in stock])
-                    order = np.argsort(ids, kind="stable")
-                    ids, units, stock = ids[order], np.concatenate([unit(x.column(4)) for x in stock])[order], []
-                who, vectors = plain(rows.column(3)), unit(rows.column(4))
+                    held, stock = _Chunk(pa.concat_arrays([x.column(2) for x in stock]), np.concatenate([unit(x.column(4)) for x in stock]), k, own), []
+                who, vectors = rows.column(3), unit(rows.column(4))
                 for c in range(0, len(who), 256):
-                    some = who[c : c + 256]
-                    scores = vectors[c : c + 256] @ units.T
-                    if own:
-                        scores[some[:, None] == ids[None, :]] = -3.0
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(scores, best, 1)
-                    good = value > -2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.repeat(some, good.sum(axis=1)), ids[best][good], value[good]), arrow)], schema=arrow)
-
-    found = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(work, out)
+                    some = who.slice(c, 256)
+                    q, p, score = held.best(some, vectors[c : c + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, np.ndarray) else x.cast(f.type) for x, f in zip((some.take(pa.array(q)), held.ids.take(pa.array(p)), score), arrow)], schema=arrow)
+
+    found = held.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(work, out)
     return top_per_group(found, ["query"], [F.col("score").desc(), "id"], k).select("query", F.col("id").alias(key), "score")

@@ -206,7 +206,8 @@ def retrieved(spark, folder):
     embedder = index.provider("hash_v1", dimensions=64)
     requests = table(spark, folder, "recommendation_inputs").dropDuplicates(["request_id"])
     asked = requests.select("request_id", X.recommendation_query(F.col("enzyme_name"), F.col("objective.primary"), F.col("application_context.substrate"), F.col("limits_given.available_materials").cast("string")).alias("query"))
-    hits = search.retrieve(cut_lineage(_points(spark, folder, embedder)), asked, "request_id", "query", embedder, 8)
+    usable = _points(spark, folder, embedder).where("usable_for_ranking").select("id", "vector", "point_type", "source_id", "citation", "usable_for_ranking")
+    hits = search.retrieve(cut_lineage(usable), asked, "request_id", "query", embedder, 8)
     return hits.select("request_id", "rank", "point_type", "source_id", "citation", F.round("score", 6).alias("score"))
 
 

@@ -324,6 +324,47 @@ def test_search_many(spark):
     assert set(got["query"]) == set(range(0, 60, 10)) and got.groupby("query").size().eq(4).all()
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_best_of_a_chunk(own):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    counts = draw.integers(-2, 3, (9000, 12)) + [3] * 12
+    counts[draw.random(9000) < 0.3] = counts[0]  # many equal vectors
+    units = counts / np.linalg.norm(counts, axis=1)[:, None]
+    order = draw.permutation(9000)
+    got = search._Chunk(pa.array(order), units[order], 5, own).best(pa.array(np.arange(0, 9000, 100)), units[::100])
+    scores = (units[::100, None, :] * units[None, :, :]).sum(axis=2)
+    if own:
+        scores[np.arange(90), np.arange(0, 9000, 100)] = -3
+    expected = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    ids = search._Chunk(pa.array(order), units[order], 5, own).ids.to_numpy()
+    assert np.array_equal(got[0], np.repeat(np.arange(90), 5)) and np.array_equal(ids[got[1]].reshape(90, 5), expected)
+    assert np.array_equal(got[2].reshape(90, 5), np.take_along_axis(scores, expected, 1))
+
+
+def test_equal_texts_are_asked_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    class Counting(index.HashEmbedder):
+        def embed(self, text):
+            @F.pandas_udf("string")
+            def seen(texts):
+                count.add(len(texts))
+                return texts
+
+            return super().embed(seen(text))
+
+    made = spark.range(300).select(F.format_string("p%04d", "id").alias("id"), F.lit("rag_chunk").alias("point_type"), F.lit(True).alias("usable_for_ranking"), index.HashEmbedder(64).embed(F.format_string("lipase %d", F.col("id") % 3)).alias("vector"))
+    asked = spark.range(600).select(F.col("id").alias("k"), F.when(F.col("id") % 4 < 3, F.format_string("lipase %d", F.col("id") % 4)).alias("t"))
+    got = {}
+    for r in search.retrieve(made, asked, "k", "t", Counting(64), 4).collect():
+        got.setdefault(r.k, {})[r["rank"]] = r.id
+    assert count.value <= 6  # the three texts, for the filter and for the search
+    assert got == {k: {n + 1: f"p{k % 4 + 3 * n:04d}" for n in range(4)} for k in range(600) if k % 4 < 3}
+
+
 def test_artifacts(spark, tmp_path):
     kind = "path string, modified int"
     rows = [("/a/auto/B1_content_list.json", 5), ("/a/hybrid_auto/B1_content_list.json", 5), ("/b/auto/B1_content_list.json", 3), ("/a/hybrid_auto/B1.md", 5), ("/c/auto/B2_content_list.json", 1)]
